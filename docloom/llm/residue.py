@@ -106,6 +106,11 @@ filler content goes here
 filler click here to edit
 filler click to edit this text
 filler insert text here
+filler text to be supplied by the legal team
+filler replace this paragraph before publishing
+filler add a description of your policy
+filler your content will appear in this area
+filler texte provisoire à remplacer
 filler item a
 filler item b
 filler item c
@@ -139,7 +144,7 @@ _FIELD = re.compile(
 )
 #: What any field has; quick to look for.
 _FIELD_MARK = re.compile(r"[{\[<%@#]|____|\((?i:enter|insert|add)|XXX|TODO|FIXME|TBD|TBC")
-_PASSAGE = re.compile(r"(?<=[.!?…:])\s+|[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
+_PASSAGE = re.compile(r"(?<=[.!?…])\s+|[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 
 #: Share of an exemplar's weight that a window must hold.
 CONTAINMENT = 0.8
