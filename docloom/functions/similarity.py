@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pandas as pd
@@ -12,8 +13,12 @@ from pyspark.sql.types import DoubleType, LongType
 _WORDS = re.compile(r"\S+")
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel on Python integers."""
+def lcs_length(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, bit-parallel on Python integers; -1 once it can't reach ``least``.
+
+    A common subsequence of ``least`` characters leaves so many of either text unmatched that its matches stay in a band
+    around the diagonal; every few hundred characters, what the band has cost so far is held against what may be lost.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -34,16 +39,26 @@ def lcs_length(a: str, b: str) -> int:
         where[ch] = where.get(ch, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for ch in b:
-        match = row & where.get(ch, 0)
-        row = (row + match | row - match) & full
+    least -= head + tail
+    band = len(a) - least  # characters of the shorter text that may stay unmatched
+    for start in range(0, len(b), 256):
+        for ch in b[start : start + 256]:
+            match = row & where.get(ch, 0)
+            row = (row + match | row - match) & full
+        done = min(start + 256, len(b))
+        low = (1 << min(done + band, len(a))) - 1
+        if low.bit_length() - (row & low).bit_count() + len(b) - done < least:
+            return -1
     return head + tail + len(a) - row.bit_count()
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """2 * LCS / (length of both); 1 for two empty texts."""
+def indel_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
+    """2 * LCS / (length of both); 1 for two empty texts; 0 where it is below ``cutoff``."""
+    if a == b:
+        return 1.0
     total = len(a) + len(b)
-    return 1.0 if a == b else 2 * lcs_length(a, b) / total
+    ratio = 2 * lcs_length(a, b, math.ceil(cutoff * total / 2 - 1e-9)) / total
+    return ratio if ratio >= cutoff else 0.0
 
 
 def simhash64(text: str) -> int:
@@ -57,9 +72,12 @@ def simhash64(text: str) -> int:
     return out - (1 << 64) if out >> 63 else out
 
 
-@pandas_udf(DoubleType())
-def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+def indel_ratio_udf(cutoff: float):
+    @pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(x, y, cutoff) for x, y in zip(a, b)], dtype="float64")
+
+    return ratio
 
 
 @pandas_udf(LongType())

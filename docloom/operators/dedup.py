@@ -55,24 +55,29 @@ def _letters(c: Column) -> Column:
 def fuzzy_pairs(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
     """``left_path, right_path, size, ratio`` of the candidate pairs above ``threshold`` (strict).
 
-    Pairs whose character counts rule the ratio out are dropped first, which loses none. ``max_distance`` adds the lossy
-    SimHash filter.
+    Pairs whose character counts rule the ratio out are dropped first, which loses none; only then do texts travel.
+    ``max_distance`` adds the lossy SimHash filter.
     """
-    texts = files.select("path", "text", F.length("text").alias("len"), _letters(F.col("text")).alias("chars"))
-    left = texts.select(*(F.col(c).alias(f"l_{c}") for c in texts.columns))
-    right = texts.select(*(F.col(c).alias(f"r_{c}") for c in texts.columns))
+    facts = files.select("path", F.length("text").alias("len"), _letters(F.col("text")).alias("chars"))
+    left = facts.select(*(F.col(c).alias(f"l_{c}") for c in facts.columns))
+    right = facts.select(*(F.col(c).alias(f"r_{c}") for c in facts.columns))
     both = candidate_pairs(files).join(left, F.col("left_path") == F.col("l_path")).join(right, F.col("right_path") == F.col("r_path"))
     common = F.aggregate(F.zip_with("l_chars", "r_chars", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     others = F.least(
         F.col("l_len") - F.aggregate("l_chars", F.lit(0), lambda s, x: s + x),
         F.col("r_len") - F.aggregate("r_chars", F.lit(0), lambda s, x: s + x),
     )
-    pairs = both.filter(2 * (common + others) > threshold * (F.col("l_len") + F.col("r_len")))
+    texts = files.select("path", "text")
+    pairs = (
+        both.filter(2 * (common + others) > threshold * (F.col("l_len") + F.col("r_len"))).select("left_path", "right_path", "size")
+        .join(texts.withColumnsRenamed({"path": "left_path", "text": "l_text"}), "left_path")
+        .join(texts.withColumnsRenamed({"path": "right_path", "text": "r_text"}), "right_path")
+    )
     if max_distance is not None:
         pairs = pairs.withColumns({"l_h": simhash_udf("l_text"), "r_h": simhash_udf("r_text")}).filter(
             F.bit_count(F.col("l_h").bitwiseXOR(F.col("r_h"))) <= max_distance
         )
-    return pairs.withColumn("ratio", indel_ratio_udf("l_text", "r_text")).filter(F.col("ratio") > threshold).select(
+    return pairs.withColumn("ratio", indel_ratio_udf(threshold)("l_text", "r_text")).filter(F.col("ratio") > threshold).select(
         "left_path", "right_path", "size", "ratio"
     )
 

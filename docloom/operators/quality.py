@@ -37,6 +37,27 @@ def checks(index: DataFrame, orphans: int, expected: int = 1059) -> DataFrame:
     return facts.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
+def output_checks(spark, paths: dict[str, str]) -> DataFrame:
+    """``check_name, status, detail`` of written tables: a missing one fails, an empty one warns."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name, place in paths.items():
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        there = path.getFileSystem(conf).exists(path)
+        out.append((f"output_exists:{name}", "pass" if there else "fail", place))
+        if there:
+            n = spark.read.parquet(place).count()
+            out.append((f"rows:{name}", "pass" if n else "warn", f"record_count={n}"))
+    return spark.createDataFrame(out, "check_name string, status string, detail string")
+
+
+def optional_dependencies(names: tuple[str, ...] = ("docling", "tiktoken", "spacy", "nltk", "matplotlib")) -> list[tuple[str, str, str]]:
+    """Which optional libraries the driver finds, as check rows."""
+    from importlib.util import find_spec
+
+    return [(f"optional_dependency:{n}", "info", "available" if find_spec(n) else "unavailable") for n in names]
+
+
 def summary(docs: DataFrame) -> DataFrame:
     """``documents, total_words, median_words`` for (word_count); the median is exact."""
     return docs.agg(F.count("*").alias("documents"), F.sum("word_count").alias("total_words"), F.median("word_count").alias("median_words"))

@@ -346,6 +346,35 @@ def index_match(spark, d):
     return index.match_index(files, old)
 
 
+@query(O.INDEX_MATCH_FILES)
+def index_match_files(spark, d):
+    """The corpus against the table of scanned files as the older index, superseded scans and all."""
+    old = spark.read.parquet(f"{d}/file_meta.parquet").select(
+        F.lit("md").alias("file_group"), F.concat(F.lit("copy/"), "path").alias("copied_relative_path"),
+        F.concat(F.lit("source/"), "path", F.lit("@"), F.substring("sha256", 1, 8)).alias("source_relative_path"),
+        F.col("sha256").alias("source_sha256"), F.col("size").cast("string").alias("source_size_bytes"),
+    )
+    return index.match_index(_files(spark, d).select("path", "sha256", "size"), old)
+
+
+@query(O.INDEX_DIAGNOSTICS)
+def index_diagnostics(spark, d):
+    """How many files the older index knows, by status."""
+    return index_match_files(spark, d).groupBy("source_match_status").agg(F.count("*").alias("files"))
+
+
+@query(O.TALLIES)
+def corpus_tallies(spark, d):
+    """Documents by source, type, date status and script, in one pass."""
+    docs = _docs(spark, d).select(
+        F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("doc_type", F.lit("unknown")).alias("doc_type"),
+        F.when(F.coalesce("filename_date", F.lit("not_found")) == "not_found", "not_found").otherwise("parsed").alias("date_status"),
+        T.script_language(F.col("path"), F.col("text")).alias("script"),
+    )
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in docs.columns)))
+    return docs.select(pairs.alias("p")).select("p.*").groupBy("field", "value").agg(F.count("*").alias("documents"))
+
+
 @query(O.SOURCE_LAYER)
 def source_layer(spark, d):
     root = T.source_root(F.col("source_path"))

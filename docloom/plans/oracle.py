@@ -273,6 +273,26 @@ INDEX_MATCH = (
     "WHEN n = 1 THEN 'matched_by_name_only' ELSE 'ambiguous_old_index_name' END AS source_match_status, "
     "CASE WHEN e = 1 THEN ex WHEN e = 0 AND n = 1 THEN an ELSE '' END AS source_relative_path FROM j"
 )
+INDEX_MATCH_FILES = (
+    f"WITH {FILES}, o AS (SELECT path AS op, 'source/' || path || '@' || substr(sha256, 1, 8) AS srp, sha256 AS ssha, CAST(size AS VARCHAR) AS ssize FROM file_meta), "
+    "j AS (SELECT f.path, count(srp) AS n, count(*) FILTER (ssha = sha AND ssize = CAST(size AS VARCHAR)) AS e, min(srp) FILTER (ssha = sha AND ssize = CAST(size AS VARCHAR)) AS ex, min(srp) AS an "
+    "FROM f LEFT JOIN o ON string_split(f.path, '/')[-1] = string_split(op, '/')[-1] GROUP BY f.path) "
+    "SELECT path, CASE WHEN n = 0 THEN 'unmatched_in_old_index' WHEN e = 1 THEN 'matched_by_hash_size_and_name' WHEN e > 1 THEN 'ambiguous_old_index_hash_size_name' "
+    "WHEN n = 1 THEN 'matched_by_name_only' ELSE 'ambiguous_old_index_name' END AS source_match_status, "
+    "CASE WHEN e = 1 THEN ex WHEN e = 0 AND n = 1 THEN an ELSE '' END AS source_relative_path FROM j"
+)
+INDEX_DIAGNOSTICS = f"SELECT source_match_status, count(*) AS files FROM ({INDEX_MATCH_FILES}) GROUP BY 1"
+_SCRIPT_OF = (
+    "CASE WHEN len(regexp_extract_all(text, '[A-Za-z]')) > greatest(200, 3 * len(regexp_extract_all(text, '[А-Яа-яЁё]'))) THEN 'en_or_latin_script' "
+    "WHEN len(regexp_extract_all(text, '[А-Яа-яЁё]')) > greatest(200, len(regexp_extract_all(text, '[A-Za-z]'))) THEN 'ru_or_cyrillic_script' ELSE 'unknown' END"
+)
+TALLIES = " UNION ALL ".join(
+    f"SELECT '{name}' AS field, {value} AS value, count(*) AS documents FROM documents GROUP BY 2"
+    for name, value in (
+        ("source", "coalesce(source, 'unknown')"), ("doc_type", "coalesce(doc_type, 'unknown')"),
+        ("date_status", "CASE WHEN coalesce(filename_date, 'not_found') = 'not_found' THEN 'not_found' ELSE 'parsed' END"), ("script", _SCRIPT_OF),
+    )
+)
 #: (file name, source path, root, layer, role, type, platform) as they must come out.
 EXPECTED_NAMES = (
     ("ab__Acme_Privacy_Policy.md", "", "unknown", "unknown", "unknown", "privacy_policy", "Acme"),

@@ -65,6 +65,10 @@ def run_corpus(spark: SparkSession, folder: str, out: str, old_index: str = "",
     paths = {name: sinks.write_table(df, out, name) for name, df in tables.items()}
     stored = {name: spark.read.parquet(path) for name, path in paths.items()}
     counts = {name: df.count() for name, df in stored.items()}
+    extra = quality.output_checks(spark, paths).unionByName(
+        spark.createDataFrame(quality.optional_dependencies(), "check_name string, status string, detail string")
+    )
+    paths["output_checks"] = sinks.write_table(extra, out, "output_checks")
     sinks.write_text(sinks.manifest_json(asdict(config), groups or TEST_DICTIONARY, counts), f"{out}/run_manifest.json")
     report = sinks.corpus_report(stored["corpus_index"], stored["segments"], stored["document_feature_summary"], stored["token_frequencies"], stored["quality_checks"], counts["candidate_fragments"])
     sinks.write_text(report, f"{out}/report.md")

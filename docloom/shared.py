@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 _local_dir: str | None = None
+_written: list[str] = []
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +36,41 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later readers neither recompute it nor lose it with
     an executor."""
-    path = f"{shared_dir(df.sparkSession)}/docloom-{label}-{uuid.uuid4().hex}.parquet"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut` has written; results that still read them must be stored before."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the workers import this package where they can't yet: if its folder isn't on ``PYTHONPATH``, a zip of it in the
+    shared folder is added to the application, once."""
+    root = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
+        return
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    if "://" in str(folder) or not os.access(folder if folder.exists() else folder.parent, os.W_OK):
+        return
+    folder.mkdir(parents=True, exist_ok=True)
+    target = folder / f"docloom-{context.applicationId}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted((root / "docloom").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a cut table for broadcast if its counted rows are few; else leave the shuffle join to Spark."""
     return F.broadcast(df) if df.count() <= rows else df

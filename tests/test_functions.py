@@ -95,6 +95,19 @@ def test_lcs(a, b):
     assert 0 <= indel_ratio(a, b) <= 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", min_size=200, max_size=700), st.lists(st.tuples(st.integers(0, 699), st.sampled_from("abc")), max_size=90), st.sampled_from([0.5, 0.8, 0.9]))
+def test_cutoff_only_hides_what_is_below(a, edits, cutoff):
+    b = list(a)
+    for at, ch in edits:
+        if at < len(b):
+            b[at : at + 1] = [] if ch == "c" else [ch, b[at]]
+    b = "".join(b)
+    whole = indel_ratio(a, b)
+    assert indel_ratio(a, b, cutoff) == (whole if whole >= cutoff else 0.0)
+    assert lcs_length(a, b) == dp(a, b)
+
+
 def test_simhash():
     assert simhash64("") == -1  # no votes: every bit is set
     assert simhash64("A b") == simhash64("a  B")

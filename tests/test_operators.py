@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from docloom.operators import dedup, features, segments, selection
 from docloom.operators.components import connected_components
-from docloom.shared import cut, shared_dir
+from docloom.shared import cut, release, shared_dir
 
 
 def test_cut_and_shared_dir(spark):
     df = cut(spark.range(3), "t")
     assert sorted(r.id for r in df.collect()) == [0, 1, 2]
     assert any(shared_dir(spark).rstrip("/") in f for f in df.inputFiles())
+    assert release(spark) >= 1 and release(spark) == 0
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -59,7 +59,7 @@ def test_corpus_pipeline(spark, folder, tmp_path):
     paths = pipeline.run_corpus(spark, str(folder), str(tmp_path / "out"))
     index = {r.path: r for r in spark.read.parquet(paths["corpus_index"]).collect()}
     assert index["a__20240115_Acme_Privacy_Policy.md"].filename_date == "2024-01-15" and len(index) == 5
-    assert len(paths) == 12
+    assert len(paths) == 13 and spark.read.parquet(paths["output_checks"]).filter("status = 'fail'").count() == 0
     manifest = json.loads((tmp_path / "out" / "run_manifest.json").read_text())
     assert manifest["counts"]["corpus_index"] == 5 and manifest["deduplication_performed"] is False
     assert "documents: 5" in (tmp_path / "out" / "report.md").read_text()
