@@ -32,6 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     budget = sub.add_parser("tokens", help="estimated tokens of a folder against a threshold")
     budget.add_argument("directory")
     budget.add_argument("-t", "--threshold", type=int, default=32_000)
+    budget.add_argument("--tokenizer", help="vocabulary file for exact counts")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("docloom").getOrCreate()
     if args.command == "corpus":
@@ -42,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
         print(pipeline.run_duplicates(spark, args.input_dir, args.out_dir, config))
     else:
         texts = S.markdown_files(spark, args.directory).filter(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("content").cast("string").alias("text"))
-        rows = quality.token_budget(texts, args.threshold).collect()
+        rows = quality.token_budget(texts, args.threshold, args.tokenizer).collect()
         print(rows[0].asDict() if rows else "no files")
     return 0
 

@@ -63,10 +63,17 @@ def summary(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("documents"), F.sum("word_count").alias("total_words"), F.median("word_count").alias("median_words"))
 
 
-def token_budget(docs: DataFrame, limit: int = 32_000) -> DataFrame:
-    """``characters, files, tokens, exceeds``: tokens are estimated on the total; no files give no row."""
+def token_budget(docs: DataFrame, limit: int = 32_000, tokenizer: str | None = None) -> DataFrame:
+    """``characters, files, tokens, exceeds``: tokens are estimated on the total, or with a vocabulary file counted exactly
+    per file and added up; no files give no row."""
     from docloom.functions.text import estimated_tokens
+    from docloom.functions.tokenizer import token_count
 
+    if tokenizer is not None:
+        counted = docs.select(F.length("text").cast("long").alias("n"), token_count(tokenizer)("text").alias("t"))
+        return counted.agg(F.sum("n").alias("characters"), F.count("*").alias("files"), F.sum("t").alias("tokens")).filter("files > 0").withColumn(
+            "exceeds", F.col("tokens") > limit
+        )
     return docs.agg(F.sum(F.length("text").cast("long")).alias("characters"), F.count("*").alias("files")).filter("files > 0").select(
         "characters", "files", estimated_tokens(F.col("characters")).alias("tokens"), (estimated_tokens(F.col("characters")) > limit).alias("exceeds")
     )

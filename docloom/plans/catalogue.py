@@ -19,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 CFG = CorpusConfig()
+#: A vocabulary file of a public tokenizer, for counts that aren't estimates.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TERMS = features.distinct_terms(TEST_DICTIONARY)
 
 
@@ -173,6 +175,11 @@ def token_budget(spark, d):
     return quality.token_budget(_docs(spark, d), CFG.token_budget)
 
 
+@query()
+def token_budget_exact(spark, d):
+    return quality.token_budget(_docs(spark, d), CFG.token_budget, TOKENIZER)
+
+
 @query(O.SLUG)
 def slugify_platform(spark, d):
     return _docs(spark, d).select("doc_id", T.slugify(F.coalesce("platform", F.lit(""))).alias("platform_slug"))
