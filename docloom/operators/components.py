@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if tuple(state) == before:
             break
         before = tuple(state)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("group_id")).unionByName(
         now.select(F.col("b").alias("id"), F.col("b").alias("group_id")).distinct()
     )

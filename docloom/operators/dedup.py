@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docloom.functions.similarity import indel_ratio_udf, simhash_udf
+from docloom.shared import cut
 
 
 def order_key(path: str = "path") -> Column:
     return F.struct(F.lower(path).alias("low"), F.col(path).alias("path"))
 
 
+def file_facts(files: DataFrame) -> DataFrame:
+    """Path, size and hash of each file as a table of its own, so that texts are hashed once."""
+    return cut(files.select("path", "size", "sha256"), "files")
+
+
 def size_groups(files: DataFrame) -> DataFrame:
     """``size, files`` of the sizes that more than one file has."""
     return files.groupBy("size").agg(F.count("*").alias("files")).filter("files > 1")
@@ -61,7 +67,7 @@ def fuzzy_pairs(files: DataFrame, threshold: float = 0.9, max_distance: int | No
     facts = files.select("path", F.length("text").alias("len"), _letters(F.col("text")).alias("chars"))
     left = facts.select(*(F.col(c).alias(f"l_{c}") for c in facts.columns))
     right = facts.select(*(F.col(c).alias(f"r_{c}") for c in facts.columns))
-    both = candidate_pairs(files).join(left, F.col("left_path") == F.col("l_path")).join(right, F.col("right_path") == F.col("r_path"))
+    both = candidate_pairs(file_facts(files)).join(left, F.col("left_path") == F.col("l_path")).join(right, F.col("right_path") == F.col("r_path"))
     common = F.aggregate(F.zip_with("l_chars", "r_chars", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     others = F.least(
         F.col("l_len") - F.aggregate("l_chars", F.lit(0), lambda s, x: s + x),
@@ -93,7 +99,7 @@ def duplicates(files: DataFrame, threshold: float = 0.9, max_distance: int | Non
         F.col("right_path").alias("deleted_file"), F.col("b.left_path").alias("original_file"), "size",
         F.col("b.ratio").alias("similarity"), F.lit("fuzzy ratio").alias("method"),
     )
-    exact = exact_duplicates(files).withColumns({"similarity": F.lit(1.0), "method": F.lit("SHA-256 exact match")})
+    exact = exact_duplicates(file_facts(files)).withColumns({"similarity": F.lit(1.0), "method": F.lit("SHA-256 exact match")})
     heads = files.select("path", "first_line")
     return (
         exact.unionByName(best)

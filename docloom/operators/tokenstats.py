@@ -2,7 +2,7 @@
 
 Documents come as (doc_id, path, text); ``path`` orders them where a rank has ties. Occurrences and records are counted
 in one exchange: every document's array yields a row per occurrence and a row per distinct token, which the map side
-adds up before anything moves.
+adds up before anything moves. What only breaks ties is looked up for the ties.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docloom.functions.text import kept_tokens, tokens
+from docloom.shared import cut, small_side
 
 
 def with_tokens(docs: DataFrame) -> DataFrame:
@@ -19,31 +20,43 @@ def with_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "path", kept_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
-def _occurrences(arrays: DataFrame, array: str, name: str) -> DataFrame:
-    """``name, c, d, first`` rows whose sums are occurrences and records; first is where the term was first seen."""
-    each = F.transform(
-        array,
-        lambda t, i: F.struct(t.alias(name), F.lit(1).alias("c"), F.lit(0).alias("d"), F.struct(F.col("path"), i.alias("pos")).alias("first")),
-    )
-    once = F.transform(
-        F.array_distinct(array),
-        lambda t: F.struct(t.alias(name), F.lit(0).alias("c"), F.lit(1).alias("d"), F.lit(None).cast("struct<path:string,pos:int>").alias("first")),
-    )
+def _occurrences(arrays: DataFrame, array: str | Column, name: str) -> DataFrame:
+    """``name, c, d`` rows whose sums are occurrences and records; both are numbers, so they are added up in a hash table."""
+    a = F.col(array) if isinstance(array, str) else array
+    each = F.transform(a, lambda t: F.struct(t.alias(name), F.lit(1).alias("c"), F.lit(0).alias("d")))
+    once = F.transform(F.array_distinct(a), lambda t: F.struct(t.alias(name), F.lit(0).alias("c"), F.lit(1).alias("d")))
     return arrays.select(F.explode(F.concat(each, once)).alias("o")).select("o.*")
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """``token, count, document_count, first`` of all kept tokens."""
-    return (
-        _occurrences(with_tokens(docs), "tokens", "token").groupBy("token")
-        .agg(F.sum("c").alias("count"), F.sum("d").alias("document_count"), F.min("first").alias("first"))
-    )
+    """``token, count, document_count`` of all kept tokens."""
+    rows = _occurrences(with_tokens(docs), "tokens", "token")
+    return rows.groupBy("token").agg(F.sum("c").alias("count"), F.sum("d").alias("document_count"))
+
+
+def top_by_count(counts: DataFrame, key: str, limit: int, rows: DataFrame) -> DataFrame:
+    """The ``limit`` rows of ``counts`` with the highest ``count``; of those that tie for the last places the ones first
+    seen in ``rows`` (key, path, pos).
+
+    Where a term was first seen is looked up for the ties only, so the counting itself carries no position.
+    """
+    counts = cut(counts, "counts")
+    last = counts.orderBy(F.desc("count")).limit(limit).agg(F.min("count"), F.count("*")).first()
+    if last[1] < limit:
+        return counts
+    above = counts.filter(F.col("count") > last[0])
+    tied = cut(counts.filter(F.col("count") == last[0]), "tied")
+    places = limit - above.count()
+    if tied.count() <= places:
+        return above.unionByName(tied)
+    seen = rows.join(small_side(tied.select(key)), key).groupBy(key).agg(F.min(F.struct("path", "pos")).alias("_first"))
+    return above.unionByName(tied.join(seen, key).orderBy("_first").limit(places).drop("_first"))
 
 
 def top_tokens(docs: DataFrame, limit: int = 5000) -> DataFrame:
-    """The most frequent tokens, ties by where they were first seen."""
-    ranked = token_counts(docs).orderBy(F.desc("count"), "first").limit(limit)
-    return ranked.select("token", "count", "document_count")
+    """``token, count, document_count`` of the most frequent tokens, ties for the last places by first seen."""
+    rows = with_tokens(docs).select("path", F.posexplode("tokens").alias("pos", "token"))
+    return top_by_count(token_counts(docs), "token", limit, rows).orderBy(F.desc("count"), "token")
 
 
 def grams_of(array: str, n: int) -> Column:
@@ -58,16 +71,14 @@ def grams_of(array: str, n: int) -> Column:
 
 
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
-    grams = with_tokens(docs).select("path", grams_of("tokens", n).alias("grams"))
-    rows = grams.select("path", F.posexplode("grams").alias("pos", "ngram"))
-    return rows.groupBy("ngram").agg(F.count("*").alias("count"), F.min(F.struct("path", "pos")).alias("first"))
+    grams = with_tokens(docs).select(F.explode(grams_of("tokens", n)).alias("ngram"))
+    return grams.groupBy("ngram").agg(F.count("*").alias("count"))
 
 
 def top_ngrams(docs: DataFrame, n: int, limit: int = 500) -> DataFrame:
-    """``ngram, n, count`` of the most frequent n-grams of kept tokens, ties by first seen."""
-    return ngram_counts(docs, n).orderBy(F.desc("count"), "first").limit(limit).select(
-        "ngram", F.lit(n).cast("long").alias("n"), "count"
-    )
+    """``ngram, n, count`` of the most frequent n-grams of kept tokens, ties for the last places by first seen."""
+    rows = with_tokens(docs).select("path", F.posexplode(grams_of("tokens", n)).alias("pos", "ngram"))
+    return top_by_count(ngram_counts(docs, n), "ngram", limit, rows).select("ngram", F.lit(n).cast("long").alias("n"), "count")
 
 
 def plain_ngrams(docs: DataFrame, stopwords, n: int) -> DataFrame:
@@ -81,7 +92,7 @@ def plain_ngrams(docs: DataFrame, stopwords, n: int) -> DataFrame:
 
 def collocations(docs: DataFrame, min_count: int = 5, limit: int = 500) -> DataFrame:
     """Bigrams of at least ``min_count`` by pointwise mutual information, log2(c12 * N / (c1 * c2)), N all kept tokens."""
-    single = token_counts(docs).select("token", "count")
+    single = cut(token_counts(docs).select("token", "count"), "tokens")
     total = single.agg(F.sum("count").alias("total"))
     pairs = (
         ngram_counts(docs, 2).filter(F.col("count") >= min_count).select("ngram", F.col("count").alias("c12"))
@@ -105,15 +116,19 @@ def tfidf(docs: DataFrame, features: int = 5000, min_df: int = 2, max_df: float
     """
     n = docs.count()
     words = F.regexp_extract_all(F.array_join(kept_tokens(F.coalesce("text", F.lit(""))), " "), F.lit(r"([^\s-]+)"), F.lit(1))
-    terms = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.concat("w", grams_of("w", 2))).alias("term"))
-    tf = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    vocabulary = (
-        tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    terms = docs.select("doc_id", words.alias("w")).select("doc_id", F.concat("w", grams_of("w", 2)).alias("terms"))
+    vocabulary = cut(
+        _occurrences(terms, "terms", "term").groupBy("term").agg(F.sum("c").alias("total"), F.sum("d").alias("df"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
         .orderBy(F.desc("total"), "term").limit(features)
-        .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+        .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")),
+        "vocabulary",
+    )
+    weighted = cut(
+        terms.select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(vocabulary), "term")
+        .groupBy("doc_id", "term", "idf").agg(F.count("*").alias("tf")).select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w")),
+        "weighted",
     )
-    weighted = tf.join(F.broadcast(vocabulary), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("tfidf"))
 

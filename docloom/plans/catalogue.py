@@ -289,23 +289,23 @@ def size_groups(spark, d):
 
 @query(O.EXACT)
 def exact_duplicates(spark, d):
-    return dedup.exact_duplicates(_files(spark, d))
+    return dedup.exact_duplicates(dedup.file_facts(_files(spark, d)))
 
 
 @query(O.PAIRS)
 def candidate_pairs(spark, d):
-    return dedup.candidate_pairs(_files(spark, d))
+    return dedup.candidate_pairs(dedup.file_facts(_files(spark, d)))
 
 
 @query(O.KEPT)
 def kept_documents(spark, d):
-    files = _files(spark, d)
+    files = dedup.file_facts(_files(spark, d))
     return dedup.kept_files(files, dedup.exact_duplicates(files)).select("path", "size")
 
 
 @query(O.RUN_COUNTS)
 def dedup_run_counts(spark, d):
-    files = _files(spark, d)
+    files = dedup.file_facts(_files(spark, d))
     planned = dedup.candidate_pairs(files).agg(F.count("*").alias("pairs_planned"))
     suspicious = dedup.size_groups(files).agg(F.sum("files").alias("suspicious_files"))
     return suspicious.join(F.broadcast(planned))
