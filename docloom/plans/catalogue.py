@@ -14,6 +14,7 @@ from docloom.functions.similarity import simhash_udf
 from docloom.functions.terms import evidence_phrase, hit_array
 from docloom.operators import dedup, features, index, quality, segments, selection, tokenstats
 from docloom.plans import oracle as O
+from docloom.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,7 +46,7 @@ def oracle_sql() -> dict[str, str]:
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     """The corpus: documents with the path of their file."""
     path = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.lit(".md"))
-    return spark.read.parquet(f"{d}/documents.parquet").withColumn("path", path)
+    return spread(spark.read.parquet(f"{d}/documents.parquet")).withColumn("path", path)
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:

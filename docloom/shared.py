@@ -52,6 +52,13 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores where it has far fewer splits than there are cores, as a small file has; a scan of
+    many splits stays as it is and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Let the workers import this package where they can't yet: if its folder isn't on ``PYTHONPATH``, a zip of it in the
     shared folder is added to the application, once."""
