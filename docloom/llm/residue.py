@@ -186,10 +186,9 @@ class Index:
         plain = _CODE.sub(" ", text) if "`" in text else text
         if _FIELD_MARK.search(plain) and _FIELD.search(plain):
             return "field", 1.0
-        found = set(words(text))
-        near = found & self.posting.keys()
-        mash = found & self.filler
-        if not near and len(mash) < 4:
+        of_text = words(text)
+        near = self.posting.keys() & of_text
+        if not near and sum(w in self.filler for w in of_text) < 4:  # a window of filler has four such words at least
             return None
         best = None
         for passage in _PASSAGE.split(plain):

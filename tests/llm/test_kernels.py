@@ -192,6 +192,17 @@ def test_talk_about_residue_is_none(text):
     assert index().match(text) is None
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "blah blah blah blah", "asdf asdf asdf asdf", "foo bar foo bar foo bar", "Lorem ipsum dolor ipsum dolor", "A line of text.\nblah blah blah blah",
+        "lorem ipsum lorem ipsum lorem ipsum lorem ipsum here",
+    ],
+)
+def test_few_distinct_filler_words_are_read(text):
+    assert index().match(text) == ("filler", 1.0)
+
+
 def test_no_vocabulary_of_an_empty_corpus():
     assert residue.Index({}, 0).match("404 Not Found")[0] == "error"
 
