@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.kernels import words
+from docloom.shared import cut
 
 #: Labelled passages. The first word is the label; names of sites and pages are left out.
 EXEMPLARS = """
@@ -176,84 +178,130 @@ class Index:
             self.terms.append(frozenset(terms))
             self.total.append(total)
         self.filler = frozenset(words(FILLER_BAGS))
-        self.other = float(np.mean([w / len(t) for w, t in zip(self.total, self.terms)]))
+        #: Of a term whose count isn't at hand: some record holds it, and all may.
+        self.least = 0.1
+        self.most = math.log((self.n + 1) / (min(1, self.n) + 1)) + 0.1
 
     def weight(self, term: str) -> float:
         return math.log((self.n + 1) / (min(self.df.get(term, 0), self.n) + 1)) + 0.1
 
-    def match(self, text: str) -> tuple[str, float] | None:
-        """Label and containment of the best match of a text, or None."""
+    def candidates(self, text: str, every: bool = False) -> tuple[tuple[str, float] | None, list[tuple[str, float, float, list[str]]]]:
+        """The best match that holds whatever the counts of terms outside ``df`` are, and those that hang on them: label,
+        containment, room (what such terms may weigh) and these terms. With ``every``, ``df`` has the counts of all terms."""
         plain = _CODE.sub(" ", text) if "`" in text else text
         if _FIELD_MARK.search(plain) and _FIELD.search(plain):
-            return "field", 1.0
+            return ("field", 1.0), []
         of_text = words(text)
         near = self.posting.keys() & of_text
         if not near and sum(w in self.filler for w in of_text) < 4:  # a window of filler has four such words at least
-            return None
-        best = None
+            return None, []
+        best, unsure = None, []
         for passage in _PASSAGE.split(plain):
             of = words(passage)
             if len(of) >= 4 and sum(w in self.filler for w in of) >= CONTAINMENT * len(of):
                 if (held := set(of)) & set(MASH) or len(held - {"in", "id", "non", "ex", "ad", "do", "et", "est", "qui", "sit", "sed", "ut", "eu", "ea", "sint"}) >= 3:
                     best = max(best or ("", 0.0), ("filler", 1.0), key=lambda b: b[1])
             window = set(of)
-            for e in {e for t in window & near for e in self.posting[t]}:
+            for e in sorted({e for t in window & near for e in self.posting[t]}):
                 both = sum(map(self.weight, self.terms[e] & window))
                 if both < CONTAINMENT * self.total[e]:
                     continue
-                whole = both + self.other * len(window - self.terms[e])
-                if both >= COVERAGE * whole:
-                    score = both / self.total[e]
+                rest = sorted(window - self.terms[e])
+                unknown = [] if every else [t for t in rest if t not in self.df]
+                room = both / COVERAGE - both - sum(self.weight(t) for t in rest if every or t in self.df)
+                score = both / self.total[e]
+                if room >= self.most * len(unknown):
                     if best is None or score > best[1]:
                         best = (self.labels[e], score)
-        return best
+                elif room >= self.least * len(unknown):
+                    unsure.append((self.labels[e], score, room, unknown))
+        return best, [u for u in unsure if best is None or u[1] > best[1]]
+
+    def match(self, text: str) -> tuple[str, float] | None:
+        """Label and containment of the best match of a text, or None, with ``df`` as the counts of all terms."""
+        return self.candidates(text, every=True)[0]
 
 
-def exemplar_counts(texts: DataFrame) -> tuple[dict[str, int], int]:
-    """Records that hold each exemplar term, over all texts, and the number of records. The result is as long as the
-    exemplars have terms, however large the corpus is."""
-    vocabulary = sorted({t for line in EXEMPLARS.strip().split("\n") for t in words(line.partition(" ")[2])})
-    place = {t: i for i, t in enumerate(vocabulary)}
+#: Terms a worker counts before it hands the counts on.
+COUNTED_TERMS = 200_000
+
+
+def document_counts(texts: DataFrame) -> DataFrame:
+    """``term, n``: the records that hold each term, over all texts; the null term has the number of records."""
+
+    def rows(seen, records):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*seen, None], pa.string()), pa.array([*seen.values(), records], pa.int64())], names=["term", "n"]
+        )
 
     def count(batches):
-        seen = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+        seen, records = Counter(), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen[-1] += 1
-                for t in set(words(text)) & place.keys():
-                    seen[place[t]] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(vocabulary + [None], pa.string()), pa.array(seen)], names=["term", "n"]
-        )
+                records += 1
+                seen.update(set(words(text)))
+                if len(seen) >= COUNTED_TERMS:
+                    yield rows(seen, records)
+                    seen, records = Counter(), 0
+        yield rows(seen, records)
+
+    return texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def exemplar_counts(counts: DataFrame) -> tuple[dict[str, int], int]:
+    """Records that hold each exemplar term, and the number of records, from the counts of all terms. The result is as long
+    as the exemplars have terms, however large the corpus is."""
+    vocabulary = sorted({t for line in EXEMPLARS.strip().split("\n") for t in words(line.partition(" ")[2])})
+    rows = {r.term: r.n for r in counts.filter(F.col("term").isNull() | F.col("term").isin(vocabulary)).collect()}
+    n = rows.pop(None, 0) or 0
+    return {t: rows.get(t, 0) for t in vocabulary}, n
+
 
-    rows = texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r.term: r.n for r in rows}
-    return counts, counts.pop(None, 0) or 0
+_FOUND = "key string, doc_id long, label string, score double, unsure array<struct<label: string, score: double, room: double, terms: array<string>>>"
+_UNSURE = pa.list_(
+    pa.struct([("label", pa.string()), ("score", pa.float64()), ("room", pa.float64()), ("terms", pa.list_(pa.string()))])
+)
 
 
 def residue(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, label, score`` of every record with residue; label: field, script, loading, block, error or filler.
 
     Null or empty texts have none; a repeated row is reported again; an empty table gives no rows. Only the two named
-    columns are read.
+    columns are read. Matches that hang on the weights of words no exemplar has are joined with the counts of these.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts, n = exemplar_counts(texts.select("text"))
+    terms = cut(document_counts(texts.select("text")), "terms")
+    counts, n = exemplar_counts(terms)
 
     def find(batches):
         index = Index(counts, n)
         for batch in batches:
-            out = ([], [], [])
+            out = ([], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and (hit := index.match(text)):
-                    for column, value in zip(out, (key, *hit)):
+                if not text:
+                    continue
+                best, unsure = index.candidates(text)
+                if best or unsure:
+                    open_ = [dict(zip(("label", "score", "room", "terms"), u)) for u in unsure]
+                    for column, value in zip(out, (uuid.uuid4().hex, key, *(best or (None, None)), open_)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())],
-                names=["doc_id", "label", "score"],
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()),
+                 pa.array(out[3], pa.float64()), pa.array(out[4], _UNSURE)],
+                names=["key", "doc_id", "label", "score", "unsure"],
             )
 
-    return texts.mapInArrow(find, "doc_id long, label string, score double")
+    found = cut(texts.mapInArrow(find, _FOUND), "found")
+    weight = F.log(F.lit(n + 1.0) / (F.least(F.coalesce("n", F.lit(1)), F.lit(n)) + 1)) + 0.1
+    unsure = found.select("key", F.posexplode("unsure").alias("at", "u")).select("key", "at", "u.*")
+    settled = (
+        unsure.select("key", "at", "label", "score", "room", F.explode("terms").alias("term")).join(terms, "term", "left")
+        .groupBy("key", "at", "label", "score", "room").agg(F.sum(weight).alias("rest")).filter("rest <= room")
+        .groupBy("key").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("at"))).alias("u"))
+    )
+    return found.join(settled, "key", "left").filter("label is not null or u is not null").select(
+        "doc_id", F.coalesce("u.label", "label").alias("label"), F.coalesce("u.score", "score").alias("score")
+    )
 
 
 def without_residue(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

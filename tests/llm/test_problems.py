@@ -141,6 +141,13 @@ def test_residue(spark):
     assert {r.doc_id for r in residue.without_residue(d).collect()} == {2, 3, 4, None}
 
 
+def test_residue_weighs_every_word(spark):
+    common = [(100 + i, f"the page of a moment and r{i}") for i in range(400)]
+    d = docs(spark, common + [(1, "Loading the page, please wait a moment"), (2, "Loading zebra, please wait xylophone quartz")])
+    found = {r.doc_id: r.label for r in residue.residue(d).collect()}
+    assert found == {1: "loading"}
+
+
 def test_mix(spark):
     d = spark.createDataFrame([(i, "x" * (4 * (1 + i % 7)), "a" if i % 3 else "b") for i in range(300)] + [(999, "y" * 40, None), (998, None, "a")], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.6, 1), ("none", 0.1, 3), (None, 0.0, 1)], "source string, target_share double, max_repeats int")
