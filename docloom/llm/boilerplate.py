@@ -22,14 +22,18 @@ from pyspark.sql import functions as F
 from docloom.llm.markup import header_end, mask
 from docloom.shared import cut
 
-#: Pages aligned at a time; a site with more is split into blocks, each with its own wrapper.
+#: Pages aligned at a time; a site with more is split into blocks, whose elements are added up over the site.
 BLOCK_PAGES = 256
 #: Words up to which a line can be an element of the wrapper.
 LINE_WORDS = 16
 #: Characters up to which a line that neither consists of links nor breaks off can be an element.
 LINE_CHARS = 180
-#: Pages of a block that must share an element no exemplar knows.
+#: Pages of a site that must share an element no exemplar knows.
 MIN_SUPPORT = 4
+#: A word is a text slot if at most one of so many pages of a site holds it.
+RARE_PAGES = 20
+#: Words a worker counts before it hands the counts on.
+COUNTED_WORDS = 200_000
 
 #: Entries of menus in five languages.
 NAV = """
@@ -311,10 +315,16 @@ def line_stream(text: str, url: str | None, site: str | None) -> list[tuple[int,
     return out
 
 
-def _shaped(streams: list[list[tuple[int, str, int]]]) -> list[list[tuple[str, int]]]:
-    """The lines of each stream with text slots (*): a word that few pages of the block hold is one."""
-    df = Counter(w for s in streams for w in {w for _, low, _ in s for w in low.split(" ")})
-    rare = max(1, len(streams) // 20)
+def _words(stream: list[tuple[int, str, int]]) -> set[str]:
+    return {w for _, low, _ in stream for w in low.split(" ")}
+
+
+def _shaped(streams: list[list[tuple[int, str, int]]], fixed: set[str] | None = None) -> list[list[tuple[str, int]]]:
+    """The lines of each stream with text slots (*): a word that few pages of the site hold is one. ``fixed`` are the
+    words that aren't; without it the streams are all of the site."""
+    if fixed is None:
+        df = Counter(w for s in streams for w in _words(s))
+        fixed = {w for w, n in df.items() if n > max(1, len(streams) // RARE_PAGES)}
     slots: dict[str, str] = {}
     out = []
     for s in streams:
@@ -322,7 +332,7 @@ def _shaped(streams: list[list[tuple[int, str, int]]]) -> list[list[tuple[str, i
         for _, low, label in s:
             key = slots.get(low)
             if key is None:
-                words = ["*" if df[w] <= rare else w for w in low.split(" ")]
+                words = [w if w in fixed else "*" for w in low.split(" ")]
                 key = slots[low] = " ".join(words) if any(w != "*" for w in words) else low
             keys.append((key, label))
         out.append(keys)
@@ -376,17 +386,23 @@ def infer_wrapper(shaped: list[list[tuple[str, int]]]) -> list[dict]:
     ]
 
 
-def block_boilerplate(streams: list[list[tuple[int, str, int]]]) -> list[list[int]]:
-    """Line numbers of each page of a block that the block's wrapper labels boilerplate."""
-    shaped = _shaped(streams)
-    chrome = {
-        e["element"] for e in infer_wrapper(shaped)
-        if e["label"] > 0 or e["label"] == 0 and e["support"] >= MIN_SUPPORT and 2 * e["slots"] <= len(e["element"].split(" "))
-    }
-    return [
-        [n for (n, _, known), (k, _) in zip(s, keys) if known > 0 or known == 0 and k in chrome]
-        for s, keys in zip(streams, shaped)
-    ]
+def tally(shaped: list[list[tuple[str, int]]]) -> dict[str, tuple[int, int, int]]:
+    """Of each element of the shaped streams the support, the highest label, and by how many its unknown lines outnumber
+    those that are headings or sentences. All three can be put together from blocks."""
+    support = Counter(k for s in shaped for k in {k for k, _ in s})
+    label: dict[str, int] = {}
+    plain: Counter = Counter()
+    for s in shaped:
+        for k, known in s:
+            label[k] = max(label.get(k, known), known)
+            plain[k] += (known == 0) - (known < 0)
+    return {k: (n, label[k], plain[k]) for k, n in support.items()}
+
+
+def is_chrome(element: str, support: int, label: int, plain: int) -> bool:
+    """Is an element of a site's wrapper boilerplate?"""
+    parts = element.split(" ")
+    return label > 0 or plain > 0 and support >= MIN_SUPPORT and 2 * parts.count("*") <= len(parts)
 
 
 _LINE = pa.struct([("n", pa.int32()), ("low", pa.string()), ("label", pa.int8())])
@@ -427,10 +443,63 @@ def site_streams(pages: DataFrame, manifest: DataFrame, text_col: str = "markdow
     )
 
 
-def _blocks(streams: DataFrame) -> DataFrame:
-    """Adds ``block``: as many per site as it takes to keep one under about BLOCK_PAGES pages."""
-    sizes = streams.groupBy("site").agg(F.ceil(F.count("*") / F.lit(BLOCK_PAGES)).cast("int").alias("blocks"))
-    return streams.join(sizes, "site").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")).drop("blocks")
+def _sizes(streams: DataFrame) -> DataFrame:
+    """``site, pages, blocks``: as many blocks per site as it takes to keep one under about BLOCK_PAGES pages."""
+    return streams.groupBy("site").agg(F.count("*").alias("pages")).withColumn(
+        "blocks", F.ceil(F.col("pages") / F.lit(BLOCK_PAGES)).cast("int")
+    )
+
+
+def _site_words(streams: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``site, block, words`` of every block of a site that has several: the site's words that aren't slots. They are at
+    most RARE_PAGES times the words of a mean page, however large the site is."""
+
+    def rows(seen):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())],
+            names=["site", "word", "n"],
+        )
+
+    def count(batches):
+        seen = Counter()
+        for batch in batches:
+            for site, stream in zip(batch.column(0).to_pylist(), _of(batch)):
+                seen.update((site, w) for w in _words(stream))
+                if len(seen) >= COUNTED_WORDS:
+                    yield rows(seen)
+                    seen = Counter()
+        yield rows(seen)
+
+    counts = streams.select("site", "lines").mapInArrow(count, "site string, word string, n long")
+    return (
+        counts.groupBy("site", "word").agg(F.sum("n").alias("n")).join(sizes.filter("blocks > 1"), "site")
+        .filter(F.col("n") > F.greatest(F.lit(1), F.floor(F.col("pages") / F.lit(RARE_PAGES))))
+        .groupBy("site", "blocks").agg(F.collect_list("word").alias("words"))
+        .select("site", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "words")
+    )
+
+
+def _by_block(streams: DataFrame, function, schema: str) -> DataFrame:
+    """``function(site, table, shaped, several)`` of every block, its streams shaped by the slots of the whole site;
+    ``several``: has the site other blocks?"""
+    sizes = cut(_sizes(streams), "sizes")
+    blocks = streams.join(sizes, "site").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    empty = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    nothing = pa.schema([(c.split()[0], empty[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(key, table, words):
+        if not table.num_rows:
+            return nothing.empty_table()
+        table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending")]))
+        several = table.column("blocks")[0].as_py() > 1
+        fixed = {w for ws in words.column("words").to_pylist() for w in ws} if several else None
+        return function(key[0].as_py(), table, _shaped(_of(table), fixed), several).cast(nothing)
+
+    words = _site_words(streams, sizes)
+    return blocks.groupBy("site", "block").cogroup(words.groupBy("site", "block")).applyInArrow(run, schema)
+
+
+_SITE_LABEL = "case when max(label) > 0 then max(label) else min(label) end"
 
 
 def _of(table: pa.Table) -> list[list[tuple[int, str, int]]]:
@@ -444,41 +513,61 @@ def boilerplate_lines(pages: DataFrame, manifest: DataFrame, text_col: str = "ma
     without any address form one site. Only ``doc_id``, the text and the manifest's ``doc_id`` and ``url`` are read.
     """
     streams = cut(site_streams(pages, manifest, text_col), "streams")
-
-    def find(table):
-        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending")])
-        table = table.take(order)
-        ids, numbers = [], []
-        for key, found in zip(table.column("doc_id").to_pylist(), block_boilerplate(_of(table))):
-            ids += [key] * len(found)
-            numbers += found
-        return pa.table({"doc_id": pa.array(ids, pa.string()), "line_no": pa.array(numbers, pa.int64())})
-
-    return _blocks(streams).groupBy("site", "block").applyInArrow(find, "doc_id string, line_no long")
+    schema = "doc_id string, line_no long, site string, element string, support long, label int, plain long"
+
+    def find(site, table, shaped, several):
+        # lines that are settled; of a site with other blocks also the lines that hang on the site's totals, and its elements
+        elements = tally(shaped)
+        rows = [(None, None, site, k, *e) for k, e in elements.items()] if several else []
+        for key, stream, keys in zip(table.column("doc_id").to_pylist(), _of(table), shaped):
+            for (n, _, known), (k, _) in zip(stream, keys):
+                if known > 0 or known == 0 and not several and is_chrome(k, *elements[k]):
+                    rows.append((key, n, None, None, None, None, None))
+                elif known == 0 and several:
+                    rows.append((key, n, site, k, None, None, None))
+        columns = list(zip(*rows)) or [()] * 7
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "line_no", "site", "element", "support", "label", "plain"])
+
+    found = cut(_by_block(streams, find, schema), "found")
+    lines = found.filter("doc_id is not null")
+    size, slots = F.size("parts"), F.size(F.filter("parts", lambda x: x == "*"))
+    chrome = (
+        found.filter("doc_id is null").groupBy("site", "element")
+        .agg(F.sum("support").alias("support"), F.max("label").alias("label"), F.sum("plain").alias("plain"))
+        .withColumn("parts", F.split("element", " ", -1))
+        .filter((F.col("label") > 0) | (F.col("plain") > 0) & (F.col("support") >= MIN_SUPPORT) & (2 * slots <= size))
+        .select("site", "element")
+    )
+    open_ = lines.filter("element is not null").join(chrome, ["site", "element"], "left_semi")
+    return lines.filter("element is null").select("doc_id", "line_no").unionByName(open_.select("doc_id", "line_no"))
 
 
 def wrappers(pages: DataFrame, manifest: DataFrame, text_col: str = "markdown") -> DataFrame:
-    """``site, element, support, optional, repeated, slots, boilerplate``: the merged wrapper of each site; support adds
-    up over its blocks."""
+    """``site, element, support, optional, repeated, slots, label``: the merged wrapper of each site; support adds up over
+    its blocks, and what one page of the site has is none of it."""
     streams = cut(site_streams(pages, manifest, text_col), "streams")
-    schema = "site string, element string, support long, optional boolean, repeated boolean, slots int, label int"
+    schema = "site string, element string, support long, repeated boolean, slots int, label int"
 
-    def infer(key, table):
-        rows = [e for e in infer_wrapper(_shaped(_of(table))) if e["support"] > 1]
+    def infer(site, table, shaped, several):
+        rows = [e for e in infer_wrapper(shaped) if several or e["support"] > 1]
         return pa.table(
             {
-                "site": pa.array([key[0].as_py()] * len(rows), pa.string()),
+                "site": pa.array([site] * len(rows), pa.string()),
                 "element": pa.array([e["element"] for e in rows], pa.string()),
                 "support": pa.array([e["support"] for e in rows], pa.int64()),
-                "optional": pa.array([e["optional"] for e in rows], pa.bool_()),
                 "repeated": pa.array([e["repeated"] for e in rows], pa.bool_()),
                 "slots": pa.array([e["slots"] for e in rows], pa.int32()),
                 "label": pa.array([e["label"] for e in rows], pa.int32()),
             }
         )
 
-    return (
-        _blocks(streams).groupBy("site", "block").applyInArrow(infer, schema).groupBy("site", "element")
-        .agg(F.sum("support").alias("support"), F.bool_or("optional").alias("optional"),
-             F.bool_or("repeated").alias("repeated"), F.max("slots").alias("slots"), F.max("label").alias("label"))
+    elements = (
+        _by_block(streams, infer, schema).groupBy("site", "element")
+        .agg(F.sum("support").alias("support"), F.bool_or("repeated").alias("repeated"), F.max("slots").alias("slots"),
+             F.expr(_SITE_LABEL).alias("label"))
+        .filter("support > 1")
+    )
+    return elements.join(_sizes(streams), "site").select(
+        "site", "element", "support", (F.col("support") < F.col("pages")).alias("optional"), "repeated", "slots", "label"
     )

@@ -77,6 +77,13 @@ def test_pages_that_are_awkward(spark):
     assert distinctive.term_scores(p, top_by="weight").count() == 2
 
 
+def test_elements_of_a_large_site_add_up(spark):
+    rows = [(f"p{i}", text_page("see our quokka nook" if i < 4 else "One line with four words here.")) for i in range(1500)]
+    p, m = pages(spark, rows), manifest(spark, [])
+    assert {tuple(r) for r in boilerplate.boilerplate_lines(p, m).collect()} == {(f"p{i}", 7) for i in range(4)}
+    assert [(r.element, r.support, r.optional) for r in boilerplate.wrappers(p, m).collect() if "nook" in r.element] == [("see our quokk§ nook", 4, True)]
+
+
 def test_empty_tables(spark):
     p, m = pages(spark, []), manifest(spark, [])
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
