@@ -37,12 +37,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("docloom").getOrCreate()
     if args.command == "corpus":
         config = CorpusConfig(candidate_limit=args.candidate_limit, tfidf_features=args.max_tfidf_features, expected_documents=args.expected_document_count)
-        print(pipeline.run_corpus(spark, args.input_dir, args.out_dir, args.old_index, config=config))
+        print(pipeline.run_corpus(spark, args.input_dir, args.out_dir, args.old_index, config=config, hidden=True))
     elif args.command == "duplicates":
         config = DuplicateConfig(args.threshold, args.simhash_max_distance, args.prefilter)
         print(pipeline.run_duplicates(spark, args.input_dir, args.out_dir, config))
     else:
-        texts = S.markdown_files(spark, args.directory).filter(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("content").cast("string").alias("text"))
+        texts = S.all_files(spark, args.directory).filter(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("content").cast("string").alias("text"))
         rows = quality.token_budget(texts, args.threshold, args.tokenizer).collect()
         print(rows[0].asDict() if rows else "no files")
     return 0

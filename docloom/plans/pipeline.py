@@ -57,11 +57,15 @@ def corpus_tables(files: DataFrame, old: DataFrame, groups: dict[str, list[str]]
     }
 
 
-def run_corpus(spark: SparkSession, folder: str, out: str, old_index: str = "", groups: dict[str, list[str]] | None = None, config: CorpusConfig = CorpusConfig()) -> dict[str, str]:
-    """Read, analyse and write everything below ``out``; the paths of the tables by name."""
-    files = cut(S.decoded(S.markdown_files(spark, folder)), "files")
+def run_corpus(spark: SparkSession, folder: str, out: str, old_index: str = "", groups: dict[str, list[str]] | None = None, config: CorpusConfig = CorpusConfig(), hidden: bool = False) -> dict[str, str]:
+    """Read, analyse and write everything below ``out``; the paths of the tables by name. Files whose path has a part that
+    begins with ``_`` or ``.`` are read with ``hidden``, as the command line does; without, a check fails if there are any."""
+    files = cut(S.decoded((S.all_files if hidden else S.markdown_files)(spark, folder)), "files")
     old = S.read_csv(spark, old_index or f"{out}/no-index.csv", OLD_INDEX_COLUMNS)
     tables = corpus_tables(files, old, groups, config)
+    if not hidden and (left_out := S.first_hidden(spark, folder)):
+        row = [("hidden_files", "fail", f"left_out={left_out} and any others")]
+        tables["quality_checks"] = tables["quality_checks"].unionByName(spark.createDataFrame(row, "check_name string, status string, detail string"))
     paths = {name: sinks.write_table(df, out, name) for name, df in tables.items()}
     stored = {name: spark.read.parquet(path) for name, path in paths.items()}
     counts = {name: df.count() for name, df in stored.items()}
@@ -77,7 +81,7 @@ def run_corpus(spark: SparkSession, folder: str, out: str, old_index: str = "",
 
 def run_duplicates(spark: SparkSession, folder: str, out: str, config: DuplicateConfig = DuplicateConfig()) -> dict[str, str]:
     """Find duplicates below a folder; writes the records, the kept files and a report. Nothing is deleted."""
-    raw = S.markdown_files(spark, folder, guarded=True).withColumn("text", S.utf8_text(F.col("content")))
+    raw = S.all_files(spark, folder, guarded=True).withColumn("text", S.utf8_text(F.col("content")))
     files = cut(raw.select("path", "size", "sha256", "text", T.first_line(F.col("text")).alias("first_line")), "files")
     records = cut(dedup.duplicates(files, config.threshold, config.simhash_max_distance if config.prefilter else None), "records")
     paths = {"duplicates": sinks.write_table(records, out, "duplicates"), "kept": sinks.write_table(dedup.kept_files(files, records).drop("text"), out, "kept")}

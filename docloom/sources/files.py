@@ -34,16 +34,17 @@ def markdown_files(spark: SparkSession, root: str, pattern: str = "*.md", guarde
     return files.filter(F.lower(F.element_at(F.split("path", "/"), -1)) != "clean.md") if guarded else files
 
 
-def hidden_files(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+def hidden_files(spark: SparkSession, root: str, suffix: str = ".md", links: bool = False) -> DataFrame:
     """The files Spark's reader skips, by a listing of a local folder: a part of a path begins with ``_`` or ``.``; links
-    and what lies outside the folder are left out."""
+    and what lies outside the folder are left out, unless ``links`` are wanted."""
     real = os.path.realpath(root)
     found = []
     for folder, _, names in os.walk(root):
         for name in names:
             full = os.path.join(folder, name)
             relative = os.path.relpath(full, root)
-            if name.endswith(suffix) and not os.path.islink(full) and os.path.realpath(full).startswith(real + os.sep) and any(p[0] in "_." for p in relative.split(os.sep)):
+            inside = links and os.path.isfile(full) or not os.path.islink(full) and os.path.realpath(full).startswith(real + os.sep)
+            if name.endswith(suffix) and inside and any(p[0] in "_." for p in relative.split(os.sep)):
                 found.append((relative, full))
     paths = spark.createDataFrame(found, "path string, full string")
 
@@ -55,6 +56,31 @@ def hidden_files(spark: SparkSession, root: str, suffix: str = ".md") -> DataFra
     return rows.select("path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "modified", "content")
 
 
+def all_files(spark: SparkSession, root: str, guarded: bool = False) -> DataFrame:
+    """:func:`markdown_files` together with :func:`hidden_files`, which only a local folder can list; one elsewhere that has
+    hidden files is an error. ``guarded`` leaves out ``clean.md``."""
+    files = markdown_files(spark, root, guarded=guarded)
+    local = root.removeprefix("file://")
+    if "://" in local:
+        if found := first_hidden(spark, root):
+            raise ValueError(f"hidden files can be read from a local folder only: {found}")
+        return files
+    hidden = hidden_files(spark, local, links=not guarded)
+    return files.unionByName(hidden.filter(F.lower(F.element_at(F.split("path", "/"), -1)) != "clean.md") if guarded else hidden)
+
+
+def first_hidden(spark: SparkSession, root: str, suffix: str = ".md") -> str | None:
+    """A file that Spark's reader skips, if there is one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    start = len(path.toUri().getPath().rstrip("/")) + 1
+    while listed.hasNext():
+        relative = listed.next().getPath().toUri().getPath()[start:]
+        if relative.endswith(suffix) and any(p[0] in "_." for p in relative.split("/")):
+            return relative
+    return None
+
+
 def decode_bytes(raw: bytes) -> tuple[str, str]:
     for name in ENCODINGS:
         try:

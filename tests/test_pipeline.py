@@ -73,6 +73,18 @@ def test_duplicate_pipeline_and_cli(spark, folder, tmp_path):
     assert main(["tokens", str(folder)]) == 0
 
 
+def test_hidden_files_are_read(spark, folder, tmp_path, capsys):
+    (folder / ".old").mkdir()
+    (folder / ".old" / "x.md").write_text(TEXT)
+    main(["corpus", "--input-dir", str(folder), "--out-dir", str(tmp_path / "out")])
+    assert {"_hidden.md", ".old/x.md", "d.md"} <= {r.path for r in spark.read.parquet(str(tmp_path / "out" / "corpus_index.parquet")).collect()}
+    pipeline.run_duplicates(spark, str(folder), str(tmp_path / "dup"))
+    assert "d.md" in {r.deleted_file for r in spark.read.parquet(str(tmp_path / "dup" / "duplicates.parquet")).collect()}
+    assert "_hidden.md" in {r.path for r in spark.read.parquet(str(tmp_path / "dup" / "kept.parquet")).collect()}
+    paths = pipeline.run_corpus(spark, str(folder), str(tmp_path / "plain"))
+    assert spark.read.parquet(paths["quality_checks"]).filter("check_name = 'hidden_files' and status = 'fail'").count() == 1
+
+
 def test_stream(spark, folder, tmp_path):
     stream = incremental.distinct_contents(incremental.new_files(spark, str(folder)))
     query = incremental.run(stream, str(tmp_path / "table"), str(tmp_path / "check"))
