@@ -418,6 +418,35 @@ def rename_plan(spark, d):
     return index.rename_plan(spark.createDataFrame([(p,) for p in O.RENAME_PATHS], "path string"))
 
 
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every path of the tables once: of the corpus, of the scanned files and of the pages' raw files."""
+    scanned = spark.read.parquet(f"{d}/file_meta.parquet").select("path")
+    raw = spark.read.parquet(f"{d}/documents_manifest.parquet").select(F.col("raw_path").alias("path"))
+    return _docs(spark, d).select("path").unionByName(scanned).unionByName(raw).filter("path is not null").distinct()
+
+
+@query()
+def source_layer_files(spark, d):
+    """Source, layer, role, type and platform of every path of the tables."""
+    layer, role = T.layer_and_role(F.col("source_root"))
+    rows = _paths(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("source_path"))
+    return rows.withColumn("source_root", T.source_root(F.col("source_path"))).select(
+        "file_name", "source_path", "source_root", layer.alias("dataset_layer"), role.alias("dataset_role"),
+        T.doc_type(F.col("file_name"), F.col("source_path")).alias("doc_type"),
+        T.platform(F.col("file_name"), F.col("source_path")).alias("platform"),
+    )
+
+
+@query()
+def doc_ids_files(spark, d):
+    return dedup.unique_ids(_paths(spark, d))
+
+
+@query()
+def rename_plan_files(spark, d):
+    return index.rename_plan(_paths(spark, d))
+
+
 @query(O.URLS)
 def url_normalize(spark, d):
     rows = spark.read.parquet(f"{d}/documents_manifest.parquet").select("url").distinct()

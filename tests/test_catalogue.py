@@ -1,6 +1,7 @@
 """Every query of the catalogue against DuckDB, or, without SQL, for its schema and rows."""
 
 import os
+import re
 
 import pytest
 
@@ -26,6 +27,21 @@ def test_query(spark, data_dir, con, name):
         assert df.columns and df.count() >= 0
 
 
+def test_path_queries_read_the_tables(spark, data_dir, con):
+    paths = {r[0] for r in con.execute("SELECT raw_path FROM documents_manifest UNION SELECT path FROM file_meta").fetchall() if r[0] is not None}
+    paths |= {r.path for r in catalogue._docs(spark, data_dir).select("path").collect()}
+    found = {name: catalogue.queries()[name](spark, data_dir).collect() for name in ("source_layer_files", "doc_ids_files", "rename_plan_files")}
+    assert sorted(r.source_path for r in found["source_layer_files"]) == sorted(paths)
+    ids, seen = {}, {}
+    for path in sorted(paths, key=lambda p: p.split("/")):
+        stem = re.sub(r"(?<=[^.])\.[^.]+$", "", path.rpartition("/")[2])
+        seen[stem] = n = seen.get(stem, 0) + 1
+        ids[path] = stem if n == 1 else f"{stem}__dup{n:03d}"
+    assert {r.path: r.doc_id for r in found["doc_ids_files"]} == ids
+    new = {p: p.rpartition("/")[0] + "/" * ("/" in p) + p.rpartition("/")[2].replace(" ", "_") for p in paths}
+    assert {r.path: r.new_path for r in found["rename_plan_files"]} == new
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
