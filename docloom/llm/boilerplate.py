@@ -1,39 +1,56 @@
 """Page boilerplate mixed with main content: wrappers inferred by aligning the token streams of one site's pages.
 
-Every page becomes a stream of its short lines, in which the site's name, numbers and addresses are slots; running text
-is one text slot between them. The pages of a site are aligned one after the other with the wrapper found so far, in
-blocks of bounded size: a line that only one side has becomes optional, a line or a run of lines with the same shape
-that recurs becomes repeated, and words in which two lines of equal shape differ become text slots. The result is a
-regular expression without unions. Its elements are labelled by exemplars of menus, notices, teasers and footers;
-elements no exemplar knows are boilerplate if they recur, are no sentence and no heading.
+Every page becomes a stream of its lines, in which the site's name, numbers and addresses are slots. The pages of a site
+are aligned one after the other with the wrapper found so far, in blocks of bounded size: a line that only one side has
+becomes optional, one that recurs within a page repeated; words in which lines of equal shape differ become text slots,
+titles of the site's pages one named slot, and lines that no other page shares are the text slot between the elements.
+The result is a regular expression without unions.
+
+A menu and a standing clause both recur; what tells them apart is where the wrapper holds them. A template's lines stand
+between the text slot and the page's edge, or in runs of other lines of the template; a clause stands within the text.
+So every element gets a score, how firmly its neighbours in the aligned pages belong to the template, and support and
+score, summed over the site, decide. Exemplars of menus, notices and footers only break ties: they decide where an element
+has too few pages or its score lies between.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.kernels import hash_text
 from docloom.llm.markup import header_end, mask
-from docloom.shared import cut
+from docloom.shared import cut, small_side
 
 #: Pages aligned at a time; a site with more is split into blocks, whose elements are added up over the site.
 BLOCK_PAGES = 256
-#: Words up to which a line can be an element of the wrapper.
-LINE_WORDS = 16
-#: Characters up to which a line that neither consists of links nor breaks off can be an element.
-LINE_CHARS = 180
-#: Pages of a site that must share an element no exemplar knows.
+#: Words up to which a line is compared word by word; a longer one is an element as a whole.
+LINE_WORDS = 24
+#: Pages of different titles of a site that must share an element before the wrapper decides on it.
 MIN_SUPPORT = 4
+#: Score from which an element belongs to the template; with slots, which match by chance, more is asked of few pages.
+CHROME_SCORE = 0.55
+SLOT_MARGIN = 0.9
+#: Pages from which, and score below which, an element belongs to the text whatever an exemplar says.
+OWN_SUPPORT = 20
+OWN_SCORE = 0.3
+#: Rounds in which scores pass from an element to its neighbours.
+ROUNDS = 2
 #: A word is a text slot if at most one of so many pages of a site holds it.
 RARE_PAGES = 20
+#: A title's form counts if more than one of so many pages of a site has it.
+RARE_TITLES = 200
 #: Words a worker counts before it hands the counts on.
 COUNTED_WORDS = 200_000
+#: Words of a line up to which shape alone (a comment, a quotation) can make it known.
+SHAPE_WORDS = 24
 
 #: Entries of menus in five languages.
 NAV = """
@@ -205,11 +222,34 @@ _TAGS = re.compile(r"[\w-]+(?: · [\w-]+){2,}")
 _OWN_MARK = re.compile(r"^\s*(?:<|\\|\{\||\|[-}|]|\|.*\|\||!\[|\[\[|\$\$|\[\^|==|'')|^\s*\[[^\]]+\]:")
 
 
+#: Labels that stand before a country's own domain and name no site.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ne", "net", "nom", "or", "org", "sch")
+_HOST = r"^\s*(?:[A-Za-z][\w+.-]*://)?(?:[^/@\s]*@)?([^/:?#\s]+)"
+_IP = r"^\d+(?:\.\d+){3}$"
+
+
 def site_of(url: str | None) -> str | None:
-    """The label that names a site: the last but one of the host's labels; null for no address."""
-    m = re.match(r"(?:[A-Za-z][\w+.-]*://)?(?:[^/@\s]*@)?([^/:?#\s]+)", (url or "").strip())
-    labels = m.group(1).lower().rstrip(".").split(".") if m else []
-    return labels[-2] if len(labels) >= 2 else (labels[0] if labels and labels[0] else None)
+    """The label that names a site: the last but one of the host's labels, or the one before it where that is a
+    country's second level (``co.uk``); an IP address as it is; null for no address."""
+    m = re.match(_HOST, url or "")
+    host = m.group(1).lower().rstrip(".") if m else ""
+    if re.match(_IP, host):
+        return host
+    labels = host.split(".")
+    if len(labels) >= 3 and len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL:
+        return labels[-3]
+    return labels[-2] if len(labels) >= 2 else (labels[0] or None)
+
+
+def site_column(url: Column | str) -> Column:
+    """:func:`site_of` as an expression."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", "")
+    labels = F.split(host, r"\.", -1)
+    second = (F.size(labels) >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, -2).isin(*SECOND_LEVEL)
+    return (
+        F.when(host.rlike(_IP), host).when(second, F.try_element_at(labels, F.lit(-3)))
+        .when(F.size(labels) >= 2, F.try_element_at(labels, F.lit(-2))).otherwise(F.nullif(labels[0], F.lit("")))
+    )
 
 
 def _own_name(url: str | None) -> str:
@@ -241,196 +281,304 @@ def _all_nav(words: list[str]) -> bool:
 _SITES: dict[str, re.Pattern] = {}
 
 
-def _site_pattern(site: str) -> re.Pattern:
+def _site_pattern(site: str) -> re.Pattern | None:
+    """The site's name as whole words; None for a name too short to tell from a word."""
+    if len(site) < 3:
+        return None
     if site not in _SITES:
         if len(_SITES) > 50_000:
             _SITES.clear()
-        _SITES[site] = re.compile(r"[\s_-]+".join(map(re.escape, re.split(r"[-_]+", site))))
+        _SITES[site] = re.compile(r"(?<!\w)" + r"[\s_-]+".join(map(re.escape, re.split(r"[-_]+", site))) + r"(?!\w)")
     return _SITES[site]
 
 
-def line_stream(text: str, url: str | None, site: str | None) -> list[tuple[int, str, int]]:
-    """(line number, normalised line, label) of the page's short lines; label 1: known boilerplate, 2: shaped like a
-    title, 0: unknown, -1: unknown and a heading or a sentence."""
+def header_url(text: str | None) -> str | None:
+    """The first address in the page's header."""
+    for line in (text or "").split("\n")[: header_end(text or "")]:
+        if m := re.search(r"https?://[^\s_]+\S*", line):
+            return m.group()
+    return None
+
+
+def _known(low: str, words: list[str], linked: bool, own: str) -> bool:
+    """Does an exemplar or a rule of shape (links, tags, crumbs, quotations, comments) know the line?"""
+    opening = _OPEN.get(words[0])
+    if linked or low in _KNOWN or low in _NAV or opening and opening.match(low):
+        return True
+    if low[0] == "«" or low[-1] == "»":
+        return low[0] == "«" and low[-1] == "»" or len(words) <= SHAPE_WORDS
+    if low.endswith((" ...", " …")) and ": " in low:
+        return True
+    if len(words) <= SHAPE_WORDS and _COMMENT_LINE.match(low):
+        return True
+    if words[0] in _NAV_STARTS and _all_nav([w for w in words if w not in _SEPARATORS and w != "§"]):
+        return True
+    if _TAGS.fullmatch(low):
+        return True
+    if low[-1] != "." and _MARKS.search(low) and len(crumbs := _CRUMB.split(low)) >= 3:
+        return "§" in crumbs or crumbs[0] in _NAV or bool(own) and own in crumbs[-1]
+    return False
+
+
+def line_stream(text: str, url: str | None, site: str | None) -> list[tuple[int, str | None, int, bool]]:
+    """(line number, normalised line, label, heading) of the page's lines, the title first as number 0.
+
+    label 1: an exemplar knows it, 2: shaped like a title, 0: unknown. A line without comparable text (code, comments, the
+    text's own markup) has no normalised line and is part of the text slot. Lines of any length are read whole; one of
+    more than LINE_WORDS words is represented by its hash.
+    """
     end = header_end(text)
     raw = text.split("\n")
     plain = mask(text).split("\n") if "```" in text or "~~~" in text or "$$" in text else raw
     name = _site_pattern(site) if site else None
     own = _own_name(url)
-    out = []
+    out: list[tuple[int, str | None, int, bool]] = []
     comment = False
+    titled = False
     for n, (line, shown) in enumerate(zip(raw, plain), 1):
-        if n <= end or not line:
-            continue
-        if len(line) > LINE_CHARS and not (line.count("](") > 1 or line.rstrip().endswith(("...", "…"))):
-            continue
-        if "<!--" in line or comment:
-            comment = "-->" not in line.rpartition("<!--")[2]
-            continue
-        if not shown.strip():
+        if n <= end and titled or not line or line.isspace():
             continue
         stripped = line.strip()
         body = _DECOR.sub("", stripped)
-        decor = stripped[: len(stripped) - len(body)]
+        heading = "#" in stripped[: len(stripped) - len(body)] or body[:1] in "*_" and body[-1:] in "*_"
+        low = ""
         linked = False
-        if body.startswith("!["):
-            continue
-        if "](" in body:
-            rest = _LINK.sub("", body)
-            linked = not rest.strip(" |·•/>»,-")
-            body = _LINK.sub(r"\1", body) if not linked else " | ".join(_LINK.findall(body))
-        elif _OWN_MARK.match(body):
+        if "<!--" in line or comment:
+            comment = "-->" not in line.rpartition("<!--")[2]
+        elif shown.strip() and not body.startswith("!["):
+            if "](" in body:
+                linked = not _LINK.sub("", body).strip(" |·•/>»,-")
+                body = _LINK.sub(r"\1", body) if not linked else " | ".join(_LINK.findall(body))
+            elif _OWN_MARK.match(body):
+                body = ""
+            low = " ".join(_NUMBER.sub("0", _URL.sub("", body.lower())).split())
+            if name is not None:
+                low = name.sub("§", low)
+        if n <= end:
+            titled = True
+            out.append((0, " ".join(body.lower().split()) or None, 0, True))  # with its numbers: a second part isn't a copy
             continue
-        low = " ".join(_NUMBER.sub("0", _URL.sub("", body.lower())).split())
-        if name is not None:
-            low = name.sub("§", low)
         if not low:
+            out.append((n, None, 0, heading))
             continue
         words = low.split(" ")
-        known = 0
-        opening = _OPEN.get(words[0])
-        if linked or low in _KNOWN or low in _NAV or opening and opening.match(low):
-            known = 1
-        elif low[0] == "«" or low[-1] == "»":
-            known = int(low[0] == "«" and low[-1] == "»" or len(words) <= LINE_WORDS)
-        elif low.endswith((" ...", " …")) and ": " in low:
-            known = 1
-        elif len(words) <= LINE_WORDS + 8 and _COMMENT_LINE.match(low):
-            known = 1
-        elif words[0] in _NAV_STARTS and _all_nav([w for w in words if w not in _SEPARATORS and w != "§"]):
-            known = 1
-        elif len(words) <= LINE_WORDS:
-            if _TAGS.fullmatch(low):
-                known = 1
-            elif low[-1] != "." and _MARKS.search(low):
-                if len(crumbs := _CRUMB.split(low)) >= 3:
-                    known = int("§" in crumbs or crumbs[0] in _NAV or bool(own) and own in crumbs[-1])
-        if known:
-            out.append((n, low, 1))
-        elif len(words) <= 8 and "#" not in decor and _is_title(words):
-            out.append((n, low, 2))
-        elif len(words) <= LINE_WORDS and (not _SENTENCE.search(low) or "§" in low):
-            fixed = "#" in decor or low.startswith(_NOTES) or bool(_SENTENCE.search(low) or _ODD.search(low))
-            out.append((n, low, -1 if fixed else 0))
+        label = 1 if _known(low, words, linked, own) else 0
+        if not label and not heading and len(words) <= 8 and _is_title(words):
+            label = 2
+        if linked:
+            low = "[] " + low
+        elif len(words) > LINE_WORDS and not low.endswith(("...", "…")):
+            low = f"#{hash_text(low):x}"
+        out.append((n, low, label, heading))
+    return out
+
+
+_TOKEN = re.compile(r"#-?[0-9a-f]+$|\w+|[^\w\s]")
+
+
+def _title(stream) -> str | None:
+    """The title as a line that names it would have it."""
+    return _NUMBER.sub("0", stream[0][1]) if stream and stream[0][0] == 0 and stream[0][1] else None
+
+
+def _words(stream) -> set[str]:
+    title = _title(stream)
+    return {w for n, low, _, _ in stream if n and low for w in _TOKEN.findall(low)}.union(_TOKEN.findall(title) if title else ())
+
+
+def fixed_words(streams) -> set[str]:
+    """The words of a site's streams that aren't slots."""
+    df = Counter(w for s in streams for w in _words(s))
+    return {w for w, n in df.items() if n > max(1, len(streams) // RARE_PAGES)}
+
+
+def _slotted(low: str, fixed: set[str]) -> list[str]:
+    """The tokens of a line, those that few pages hold as slots; slots in a row are one."""
+    out: list[str] = []
+    for w in _TOKEN.findall(low):
+        if w in fixed:
+            out.append(w)
+        elif not out or out[-1] != "*":
+            out.append("*")
     return out
 
 
-def _words(stream: list[tuple[int, str, int]]) -> set[str]:
-    return {w for _, low, _ in stream for w in low.split(" ")}
+def solid(element: str) -> bool:
+    """Does an element hold more of the template than slots?"""
+    parts = element.split(" ")
+    words = sum(p in "§¤" or p[0].isalnum() and p != "0" for p in parts)
+    return element[0] == "#" or parts[0] == "[" or "¤" in parts or words > 0 and parts.count("*") <= words
+
+
+def title_forms(streams, fixed: set[str]) -> Counter:
+    """How many streams have a title of each form."""
+    return Counter(
+        form for title in map(_title, streams) if title for form in [" ".join(_slotted(title, fixed))] if solid(form)
+    )
+
 
+def common_titles(streams, fixed: set[str]) -> list[str]:
+    return [t for t, n in title_forms(streams, fixed).items() if n > max(1, len(streams) // RARE_TITLES)]
+
+
+def shape(streams, fixed: set[str], titles: list[str]) -> list[list[tuple[int, str | None, int]]]:
+    """(line number, element, label) of the lines of each stream: rare words are slots (*), a title of one of the site's
+    pages is the slot ¤, and so is what a teaser says behind it."""
+    longest = sorted(titles, key=lambda t: (-len(t), t))
+    known: dict[tuple[str, bool], str] = {}
+
+    def element(low: str, heading: bool) -> str:
+        s = f" {' '.join(_slotted(low, fixed))} "
+        for t in longest:
+            s = s.replace(f" {t} ", " ¤ ")
+        parts = s.split()
+        if "¤" in parts and (parts[-1] == "…" or parts[-3:] == [".", ".", "."]):
+            return " ".join(parts[: parts.index("¤") + 2]) + " … ."
+        if heading and parts == ["¤"]:
+            return "# ¤"
+        return s.strip() if solid(s.strip()) else low  # nothing but slots: the line as it is
 
-def _shaped(streams: list[list[tuple[int, str, int]]], fixed: set[str] | None = None) -> list[list[tuple[str, int]]]:
-    """The lines of each stream with text slots (*): a word that few pages of the site hold is one. ``fixed`` are the
-    words that aren't; without it the streams are all of the site."""
-    if fixed is None:
-        df = Counter(w for s in streams for w in _words(s))
-        fixed = {w for w, n in df.items() if n > max(1, len(streams) // RARE_PAGES)}
-    slots: dict[str, str] = {}
     out = []
     for s in streams:
-        keys = []
-        for _, low, label in s:
-            key = slots.get(low)
-            if key is None:
-                words = [w if w in fixed else "*" for w in low.split(" ")]
-                key = slots[low] = " ".join(words) if any(w != "*" for w in words) else low
-            keys.append((key, label))
-        out.append(keys)
+        rows = []
+        for n, low, label, heading in s:
+            if n == 0:
+                continue
+            if low is not None and (low, heading) not in known:
+                known[low, heading] = element(low, heading)
+            rows.append((n, known[low, heading] if low is not None else None, label))
+        out.append(rows)
     return out
 
 
-def infer_wrapper(shaped: list[list[tuple[str, int]]]) -> list[dict]:
-    """Align the shaped streams of one block into a wrapper: elements in order with support (pages), optional, repeated,
-    slots and label. Elements of one page only come last."""
-    pages = len(shaped)
-    support = Counter(k for s in shaped for k in {k for k, _ in s})
-    order: list[str] = []
-    place: dict[str, int] = {}
-    repeated: set[str] = set()
-    label: dict[str, int] = {}
-    for s in shaped:
-        stream: dict[str, None] = {}
-        for k, known in s:
-            if k in stream:
-                repeated.add(k)
-            elif support[k] > 1:
-                stream[k] = None
-            held = label.get(k)
-            label[k] = known if held is None else max(held, known) if known > 0 or held > 0 else min(held, known)
-        if all(k in place for k in stream):
-            continue
-        # what the wrapper knows, as far as it keeps the order, is aligned; the rest goes in behind its predecessor
+class Wrapper:
+    """The wrapper of a block of pages: elements in order, with support (titles of pages), optional and repeated."""
+
+    def __init__(self) -> None:
+        self.order: list[str] = []
+        self.place: dict[str, int] = {}
+        self.repeated: set[str] = set()
+        self.support: Counter = Counter()
+
+    def aligned(self, stream: list[str | None]) -> set[str]:
+        """The elements of a stream that keep the wrapper's order: the longest increasing run of places."""
         tails: list[int] = []
+        last: list[int] = []
+        before: list[int] = []
+        keys = [k for k in dict.fromkeys(stream) if k in self.place]
+        for i, k in enumerate(keys):
+            at = bisect_left(tails, self.place[k])
+            tails[at : at + 1] = [self.place[k]]
+            last[at : at + 1] = [i]
+            before.append(last[at - 1] if at else -1)
+        out, i = set(), last[-1] if last else -1
+        while i >= 0:
+            out.add(keys[i])
+            i = before[i]
+        return out
+
+    def add(self, stream: list[str | None]) -> None:
+        """Align one page: what the wrapper lacks goes in behind its aligned predecessor as an optional element."""
+        seen: set[str] = set()
         for k in stream:
-            if k in place:
-                at = bisect_left(tails, place[k])
-                tails[at : at + 1] = [place[k]]
-        aligned = set(tails)
+            if k in seen:
+                self.repeated.add(k)
+            elif k is not None and k != "*" and self.support[k] > 1:
+                seen.add(k)
+        if all(k in self.place for k in seen):
+            return
+        kept = self.aligned(stream)
         after: str | None = None
         insert: dict[str | None, list[str]] = {}
-        for k in stream:
-            if k not in place:
+        for k in dict.fromkeys(stream):
+            if k in seen and k not in self.place:
                 insert.setdefault(after, []).append(k)
-            elif place[k] in aligned:
+            elif k in kept:
                 after = k
         grown = insert.get(None, [])
-        for k in order:
+        for k in self.order:
             grown.append(k)
             grown += insert.get(k, ())
-        order = grown
-        place = {k: i for i, k in enumerate(order)}
-    return [
-        {"element": k, "support": support[k], "optional": support[k] < pages, "repeated": k in repeated,
-         "slots": k.split(" ").count("*"), "label": label[k]}
-        for k in order + [k for k in support if k not in place]
-    ]
-
-
-def tally(shaped: list[list[tuple[str, int]]]) -> dict[str, tuple[int, int, int]]:
-    """Of each element of the shaped streams the support, the highest label, and by how many its unknown lines outnumber
-    those that are headings or sentences. All three can be put together from blocks."""
-    support = Counter(k for s in shaped for k in {k for k, _ in s})
-    label: dict[str, int] = {}
-    plain: Counter = Counter()
-    for s in shaped:
-        for k, known in s:
-            label[k] = max(label.get(k, known), known)
-            plain[k] += (known == 0) - (known < 0)
-    return {k: (n, label[k], plain[k]) for k, n in support.items()}
+        self.order = grown
+        self.place = {k: i for i, k in enumerate(grown)}
 
 
-def is_chrome(element: str, support: int, label: int, plain: int) -> bool:
-    """Is an element of a site's wrapper boilerplate?"""
-    parts = element.split(" ")
-    return label > 0 or plain > 0 and support >= MIN_SUPPORT and 2 * parts.count("*") <= len(parts)
+def owners(streams) -> list[object]:
+    """Whose text a stream is: pages of one title are versions of one text and support an element once."""
+    return [s[0][1] if s and s[0][0] == 0 and s[0][1] else i for i, s in enumerate(streams)]
+
 
+def infer_wrapper(shaped, owner: list[object]) -> Wrapper:
+    """Align the pages of a block one after the other. What no other text of the block shares is text slot."""
+    wrapper = Wrapper()
+    wrapper.support = Counter(k for k, _ in {(k, o) for s, o in zip(shaped, owner) for _, k, _ in s if k})
+    for s in shaped:
+        wrapper.add([k for _, k, _ in s])
+    return wrapper
 
-_LINE = pa.struct([("n", pa.int32()), ("low", pa.string()), ("label", pa.int8())])
-_STREAM = "array<struct<n: int, low: string, label: tinyint>>"
+
+def element_scores(shaped, wrapper: Wrapper) -> dict[str, tuple[float, int]]:
+    """(sum, lines) per element, whose ratio is its score: 1 if it stands at a page's edge or beside elements that do.
+
+    At first the lines before the first and behind the last text slot of a page count, then each line has the higher
+    score of its two neighbours, where a page's edge has 1 and a text slot 0. Sums and lines add up over blocks.
+    """
+    template = {k for k in wrapper.place if wrapper.support[k] >= MIN_SUPPORT}
+    outer: Counter = Counter()
+    pages: Counter = Counter()
+    for s in shaped:
+        keys = [k for _, k, _ in s]
+        pages.update(set(keys))
+        slots = [i for i, k in enumerate(keys) if k not in template]
+        if slots:  # a page without a text slot doesn't show where the text is
+            outer.update({k for i, k in enumerate(keys) if k and (i <= slots[0] or i >= slots[-1])})
+    score = {k: outer[k] / pages[k] for k in wrapper.place}
+    total: dict[str, list] = {}
+    for _ in range(ROUNDS):
+        total = {}
+        for s in shaped:
+            near = [1.0, *(score.get(k, 0.0) for _, k, _ in s), 1.0]
+            for i, (_, k, _) in enumerate(s):
+                if k is not None and k != "*":
+                    held = total.setdefault(k, [0.0, 0])
+                    held[0] += max(near[i], near[i + 2])
+                    held[1] += 1
+        score = {k: total[k][0] / total[k][1] for k in wrapper.place}
+    return {k: (a, n) for k, (a, n) in total.items()}
+
+
+def verdict(element: str, support: int, score: float) -> bool | None:
+    """Is an element of a site's wrapper boilerplate? None: the wrapper doesn't decide."""
+    bar = CHROME_SCORE + (SLOT_MARGIN / math.sqrt(support) if "*" in element else 0)
+    if solid(element) and support >= MIN_SUPPORT and score >= bar:
+        return True
+    return False if support >= OWN_SUPPORT and score < OWN_SCORE else None
+
+
+_LINE = pa.struct([("n", pa.int32()), ("low", pa.string()), ("label", pa.int8()), ("heading", pa.bool_())])
+_STREAM = "array<struct<n: int, low: string, label: tinyint, heading: boolean>>"
 
 
 def site_streams(pages: DataFrame, manifest: DataFrame, text_col: str = "markdown") -> DataFrame:
-    """``doc_id, site, lines``, one row per ``doc_id``: the stream of a page and its site, from the manifest's address
+    """``doc_id, site, body, lines``, one row per ``doc_id``: the stream of a page with its hash, and its site, from the manifest's address
     or, where that is missing, from the page's own header."""
 
     def streams(batches):
         for batch in batches:
             sites, lines = [], []
-            for text in batch.column(1).to_pylist():
-                url = next((m.group() for m in [re.search(r"https?://[^\s_]+\S*", text[:600])] if m), None) if text else None
+            for text in batch.column(1):
+                text = text.as_py()
+                url = header_url(text)
                 site = site_of(url)
                 sites.append(site)
-                lines.append([{"n": n, "low": low, "label": k} for n, low, k in line_stream(text or "", url, site)])
+                lines.append([dict(zip(("n", "low", "label", "heading"), x)) for x in line_stream(text or "", url, site)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sites, pa.string()), pa.array(lines, pa.list_(_LINE))],
                 names=["doc_id", "header_site", "lines"],
             )
 
-    host = F.lower(F.regexp_extract(F.trim("url"), r"^(?:[A-Za-z][\w+.-]*://)?(?:[^/@\s]*@)?([^/:?#\s]+)", 1))
-    labels = F.split(F.regexp_replace(host, r"\.+$", ""), r"\.")
-    site = F.when(F.size(labels) >= 2, F.element_at(labels, -2)).otherwise(F.nullif(labels[0], F.lit("")))
     sites = (
-        manifest.filter("doc_id is not null and url is not null").select("doc_id", site.alias("site"))
+        manifest.filter("doc_id is not null and url is not null").select("doc_id", site_column("url").alias("site"))
         .groupBy("doc_id").agg(F.max("site").alias("site"))
     )
     streams_df = (
@@ -438,21 +586,44 @@ def site_streams(pages: DataFrame, manifest: DataFrame, text_col: str = "markdow
         .mapInArrow(streams, f"doc_id string, header_site string, lines {_STREAM}")
         .groupBy("doc_id").agg(F.first(F.struct("header_site", "lines")).alias("p"))
     )
+    site = F.coalesce("site", "p.header_site", F.lit(""))
     return streams_df.join(sites, "doc_id", "left").select(
-        "doc_id", F.coalesce("site", "p.header_site", F.lit("")).alias("site"), F.col("p.lines").alias("lines")
+        "doc_id", site.alias("site"), F.xxhash64(site, F.col("p.lines")).alias("body"), F.col("p.lines").alias("lines")
     )
 
 
-def _sizes(streams: DataFrame) -> DataFrame:
+def _bodies(streams: DataFrame) -> DataFrame:
+    """``site, body, title, lines``: the different streams of a site, so a group of copies is one row."""
+    title = F.when(F.try_element_at("lines", F.lit(1))["n"] == 0, F.try_element_at("lines", F.lit(1))["low"])
+    return streams.groupBy("site", "body").agg(F.first("lines").alias("lines")).withColumn("title", title)
+
+
+def _sizes(bodies: DataFrame) -> DataFrame:
     """``site, pages, blocks``: as many blocks per site as it takes to keep one under about BLOCK_PAGES pages."""
-    return streams.groupBy("site").agg(F.count("*").alias("pages")).withColumn(
+    return bodies.groupBy("site").agg(F.count("*").alias("pages")).withColumn(
         "blocks", F.ceil(F.col("pages") / F.lit(BLOCK_PAGES)).cast("int")
     )
 
 
+def _in_blocks(bodies: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The bodies with ``blocks`` and ``block``: pages of one title together, unless they are so many that they are spread."""
+    often = bodies.groupBy("site", "title").agg(F.count("*").alias("same")).filter(F.col("same") > BLOCK_PAGES // 4)
+    spread_ = F.when(F.col("title").isNull() | F.col("same").isNotNull(), F.col("body"))
+    return bodies.join(sizes, "site").join(often, ["site", "title"], "left").withColumn(
+        "block", F.pmod(F.xxhash64("title", spread_), "blocks").cast("int")
+    ).drop("same", "pages")
+
+
+def _to_blocks(values: DataFrame, name: str) -> DataFrame:
+    """A site's values at each of its blocks."""
+    return values.groupBy("site", "blocks").agg(F.collect_list(name).alias(name)).select(
+        "site", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), name
+    )
+
+
 def _site_words(streams: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``site, block, words`` of every block of a site that has several: the site's words that aren't slots. They are at
-    most RARE_PAGES times the words of a mean page, however large the site is."""
+    """``site, block, word`` (an array) of every block of a site that has several: the site's words that aren't slots.
+    They are at most RARE_PAGES times the words of a mean page, however large the site is."""
 
     def rows(seen):
         return pa.RecordBatch.from_arrays(
@@ -470,104 +641,160 @@ def _site_words(streams: DataFrame, sizes: DataFrame) -> DataFrame:
                     seen = Counter()
         yield rows(seen)
 
-    counts = streams.select("site", "lines").mapInArrow(count, "site string, word string, n long")
-    return (
-        counts.groupBy("site", "word").agg(F.sum("n").alias("n")).join(sizes.filter("blocks > 1"), "site")
-        .filter(F.col("n") > F.greatest(F.lit(1), F.floor(F.col("pages") / F.lit(RARE_PAGES))))
-        .groupBy("site", "blocks").agg(F.collect_list("word").alias("words"))
-        .select("site", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "words")
+    several = sizes.filter("blocks > 1")
+    counts = streams.join(several.select("site"), "site", "left_semi").select("site", "lines").mapInArrow(count, "site string, word string, n long")
+    return _to_blocks(
+        counts.groupBy("site", "word").agg(F.sum("n").alias("n")).join(several, "site")
+        .filter(F.col("n") > F.greatest(F.lit(1), F.floor(F.col("pages") / F.lit(RARE_PAGES)))),
+        "word",
+    )
+
+
+def _title_forms(blocks: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``site, block, form`` (an array) of every block of a site that has several: the forms of the site's titles, at most
+    RARE_TITLES of them. Only titles travel."""
+    titles = blocks.filter("blocks > 1").select("site", "block", F.filter("lines", lambda x: x["n"] == 0).alias("lines"))
+
+    def forms(key, table, fixed):
+        found = title_forms(_of(table), {w for ws in fixed.column("word").to_pylist() for w in ws})
+        return pa.table(
+            {"site": pa.array([key[0].as_py()] * len(found), pa.string()), "form": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())}
+        )
+
+    counts = titles.groupBy("site", "block").cogroup(words.groupBy("site", "block")).applyInArrow(forms, "site string, form string, n long")
+    return _to_blocks(
+        counts.groupBy("site", "form").agg(F.sum("n").alias("n")).join(sizes, "site")
+        .filter(F.col("n") > F.greatest(F.lit(1), F.floor(F.col("pages") / F.lit(RARE_TITLES)))),
+        "form",
     )
 
 
 def _by_block(streams: DataFrame, function, schema: str) -> DataFrame:
-    """``function(site, table, shaped, several)`` of every block, its streams shaped by the slots of the whole site;
+    """``function(site, bodies, shaped, owner, several)`` of every block, its streams shaped by the slots of the whole site;
     ``several``: has the site other blocks?"""
-    sizes = cut(_sizes(streams), "sizes")
-    blocks = streams.join(sizes, "site").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    empty = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    bodies = cut(_bodies(streams), "bodies")
+    sizes = cut(_sizes(bodies), "sizes")
+    blocks = _in_blocks(bodies, sizes)
+    words = cut(_site_words(bodies, sizes), "words")
+    none = F.array().cast("array<string>")
+    of_site = words.select("site", "block", "word", none.alias("form")).unionByName(
+        _title_forms(blocks, words, sizes).select("site", "block", none.alias("word"), "form")
+    )
+    empty = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
     nothing = pa.schema([(c.split()[0], empty[c.split()[1]]) for c in schema.split(", ")])
 
-    def run(key, table, words):
+    def run(key, table, known):
         if not table.num_rows:
             return nothing.empty_table()
-        table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("body", "ascending")]))
         several = table.column("blocks")[0].as_py() > 1
-        fixed = {w for ws in words.column("words").to_pylist() for w in ws} if several else None
-        return function(key[0].as_py(), table, _shaped(_of(table), fixed), several).cast(nothing)
+        pages = _of(table)
+        if several:
+            fixed = {w for ws in known.column("word").to_pylist() for w in ws}
+            titles = [t for ts in known.column("form").to_pylist() for t in ts]
+        else:
+            fixed = fixed_words(pages)
+            titles = common_titles(pages, fixed)
+        return function(key[0].as_py(), table.column("body").to_pylist(), shape(pages, fixed, titles), owners(pages), several).cast(nothing)
 
-    words = _site_words(streams, sizes)
-    return blocks.groupBy("site", "block").cogroup(words.groupBy("site", "block")).applyInArrow(run, schema)
+    return blocks.groupBy("site", "block").cogroup(of_site.groupBy("site", "block")).applyInArrow(run, schema)
 
 
-_SITE_LABEL = "case when max(label) > 0 then max(label) else min(label) end"
+def _of(table) -> list[list[tuple[int, str | None, int, bool]]]:
+    return [[(x["n"], x["low"], x["label"], x["heading"]) for x in lines or []] for lines in table.column("lines").to_pylist()]
 
 
-def _of(table: pa.Table) -> list[list[tuple[int, str, int]]]:
-    return [[(x["n"], x["low"], x["label"]) for x in lines or []] for lines in table.column("lines").to_pylist()]
+def _decided(elements: DataFrame) -> DataFrame:
+    """``eid, chrome`` of the elements (site, eid, support, total, n, solid, slots) the wrappers decide on, summed over
+    each site's blocks; :func:`verdict` as an expression."""
+    summed = elements.groupBy("eid").agg(
+        F.sum("support").alias("support"), (F.sum("total") / F.sum("n")).alias("score"), F.max("solid").alias("solid"), F.max("slots").alias("slots")
+    )
+    bar = F.lit(CHROME_SCORE) + F.when(F.col("slots"), F.lit(SLOT_MARGIN) / F.sqrt("support")).otherwise(0.0)
+    chrome = F.col("solid") & (F.col("support") >= MIN_SUPPORT) & (F.col("score") >= bar)
+    own = (F.col("support") >= OWN_SUPPORT) & (F.col("score") < OWN_SCORE)
+    return summed.filter(chrome | own).select("eid", chrome.alias("chrome"))
 
 
-def boilerplate_lines(pages: DataFrame, manifest: DataFrame, text_col: str = "markdown") -> DataFrame:
-    """``doc_id, line_no`` of the lines that aren't the page's own text, each once.
+def decided_lines(pages: DataFrame, manifest: DataFrame, text_col: str = "markdown") -> DataFrame:
+    """``doc_id, line_no, decided_by`` of the lines that aren't the page's own text, each once: ``wrapper`` where support
+    and score of the line's element settle it, ``exemplar`` where they don't and an exemplar or a shape knows the line.
 
     Repeated rows of a ``doc_id`` count once; null ids, null and empty texts give none, nor does an empty table; pages
     without any address form one site. Only ``doc_id``, the text and the manifest's ``doc_id`` and ``url`` are read.
     """
     streams = cut(site_streams(pages, manifest, text_col), "streams")
-    schema = "doc_id string, line_no long, site string, element string, support long, label int, plain long"
-
-    def find(site, table, shaped, several):
-        # lines that are settled; of a site with other blocks also the lines that hang on the site's totals, and its elements
-        elements = tally(shaped)
-        rows = [(None, None, site, k, *e) for k, e in elements.items()] if several else []
-        for key, stream, keys in zip(table.column("doc_id").to_pylist(), _of(table), shaped):
-            for (n, _, known), (k, _) in zip(stream, keys):
-                if known > 0 or known == 0 and not several and is_chrome(k, *elements[k]):
-                    rows.append((key, n, None, None, None, None, None))
-                elif known == 0 and several:
-                    rows.append((key, n, site, k, None, None, None))
-        columns = list(zip(*rows)) or [()] * 7
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "line_no", "site", "element", "support", "label", "plain"])
+    schema = "body long, line_no long, eid long, known boolean, wrapper boolean, support long, total double, n long, solid boolean, slots boolean"
+
+    def find(site, bodies, shaped, owner, several):
+        # settled lines; of a site with other blocks the lines that hang on the site's totals, and what to add up
+        wrapper = infer_wrapper(shaped, owner)
+        sums = element_scores(shaped, wrapper)
+        ids = {k: hash_text(f"{site}\n{k}") for k in sums} if several else {}
+        here = {} if several else {k: verdict(k, wrapper.support[k], a / n) for k, (a, n) in sums.items()}
+        rows = [
+            (None, None, ids[k], None, None, wrapper.support[k], a, n, solid(k), "*" in k) for k, (a, n) in sums.items()
+        ] if several else []
+        nothing = (None,) * 5
+        for key, stream in zip(bodies, shaped):
+            for n, k, label in stream:
+                if several and k is not None and k != "*" and (label > 0 or solid(k)):
+                    rows.append((key, n, ids[k], label > 0, None, *nothing))
+                elif here.get(k, False) or label > 0 and here.get(k) is None:
+                    rows.append((key, n, None, None, bool(here.get(k)), *nothing))
+        columns = list(zip(*rows)) or [()] * 10
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_())
+        names = [c.split(" ")[0] for c in schema.split(", ")]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     found = cut(_by_block(streams, find, schema), "found")
-    lines = found.filter("doc_id is not null")
-    size, slots = F.size("parts"), F.size(F.filter("parts", lambda x: x == "*"))
-    chrome = (
-        found.filter("doc_id is null").groupBy("site", "element")
-        .agg(F.sum("support").alias("support"), F.max("label").alias("label"), F.sum("plain").alias("plain"))
-        .withColumn("parts", F.split("element", " ", -1))
-        .filter((F.col("label") > 0) | (F.col("plain") > 0) & (F.col("support") >= MIN_SUPPORT) & (2 * slots <= size))
-        .select("site", "element")
-    )
-    open_ = lines.filter("element is not null").join(chrome, ["site", "element"], "left_semi")
-    return lines.filter("element is null").select("doc_id", "line_no").unionByName(open_.select("doc_id", "line_no"))
+    lines = found.filter("body is not null")
+    decided = small_side(cut(_decided(found.filter("body is null")), "decided"))
+    open_ = lines.filter("eid is not null").join(decided, "eid", "left").filter(F.coalesce("chrome", "known"))
+    settled = lines.filter("eid is null").select("body", "line_no", "wrapper")
+    both = settled.unionByName(open_.select("body", "line_no", F.coalesce("chrome", F.lit(False)).alias("wrapper")))
+    return both.join(streams.select("doc_id", "body"), "body").select("doc_id", "line_no", F.when(F.col("wrapper"), "wrapper").otherwise("exemplar").alias("decided_by"))
+
+
+def boilerplate_lines(pages: DataFrame, manifest: DataFrame, text_col: str = "markdown") -> DataFrame:
+    """``doc_id, line_no`` of :func:`decided_lines`."""
+    return decided_lines(pages, manifest, text_col).select("doc_id", "line_no")
 
 
 def wrappers(pages: DataFrame, manifest: DataFrame, text_col: str = "markdown") -> DataFrame:
-    """``site, element, support, optional, repeated, slots, label``: the merged wrapper of each site; support adds up over
-    its blocks, and what one page of the site has is none of it."""
+    """``site, element, place, support, optional, repeated, slots, label, score, chrome``: the merged wrapper of each site.
+    Support and score add up over its blocks; ``place`` is the mean place in the blocks' wrappers, as a share of their
+    length; what one page of the site has is none of it. ``chrome`` is null where the wrapper doesn't decide."""
     streams = cut(site_streams(pages, manifest, text_col), "streams")
-    schema = "site string, element string, support long, repeated boolean, slots int, label int"
-
-    def infer(site, table, shaped, several):
-        rows = [e for e in infer_wrapper(shaped) if several or e["support"] > 1]
-        return pa.table(
-            {
-                "site": pa.array([site] * len(rows), pa.string()),
-                "element": pa.array([e["element"] for e in rows], pa.string()),
-                "support": pa.array([e["support"] for e in rows], pa.int64()),
-                "repeated": pa.array([e["repeated"] for e in rows], pa.bool_()),
-                "slots": pa.array([e["slots"] for e in rows], pa.int32()),
-                "label": pa.array([e["label"] for e in rows], pa.int32()),
-            }
+    schema = "site string, element string, place double, support long, repeated boolean, slots int, label int, total double, n long, solid boolean"
+
+    def infer(site, bodies, shaped, owner, several):
+        wrapper = infer_wrapper(shaped, owner)
+        sums = element_scores(shaped, wrapper)
+        label: dict[str, int] = {}
+        for s in shaped:
+            for _, k, known in s:
+                label[k] = max(label.get(k, 0), known)
+        keys = [k for k in sums if several or wrapper.support[k] > 1]
+        size = max(1, len(wrapper.order) - 1)
+        columns = (
+            [site] * len(keys), keys, [wrapper.place[k] / size if k in wrapper.place else None for k in keys],
+            [wrapper.support[k] for k in keys], [k in wrapper.repeated for k in keys], [k.split(" ").count("*") + k.count("¤") for k in keys],
+            [label[k] for k in keys], [sums[k][0] for k in keys], [sums[k][1] for k in keys], [solid(k) for k in keys],
         )
-
-    elements = (
-        _by_block(streams, infer, schema).groupBy("site", "element")
-        .agg(F.sum("support").alias("support"), F.bool_or("repeated").alias("repeated"), F.max("slots").alias("slots"),
-             F.expr(_SITE_LABEL).alias("label"))
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.bool_())
+        names = [c.split(" ")[0] for c in schema.split(", ")]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    elements = cut(_by_block(streams, infer, schema), "elements").withColumn("eid", F.xxhash64("site", "element"))
+    decided = _decided(elements.withColumn("slots", F.contains("element", F.lit("*"))))
+    merged = (
+        elements.groupBy("site", "element", "eid")
+        .agg(F.avg("place").alias("place"), F.sum("support").alias("support"), F.bool_or("repeated").alias("repeated"), F.max("slots").alias("slots"),
+             F.max("label").alias("label"), (F.sum("total") / F.sum("n")).alias("score"))
         .filter("support > 1")
     )
-    return elements.join(_sizes(streams), "site").select(
-        "site", "element", "support", (F.col("support") < F.col("pages")).alias("optional"), "repeated", "slots", "label"
+    return merged.join(decided, "eid", "left").join(_sizes(_bodies(streams)), "site").select(
+        "site", "element", F.round("place", 4).alias("place"), "support", (F.col("support") < F.col("pages")).alias("optional"), "repeated",
+        "slots", "label", F.round("score", 4).alias("score"), "chrome",
     )

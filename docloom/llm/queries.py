@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.boilerplate_lines(_t(spark, d, "extracted_documents"), _t(spark, d, "documents_manifest"))
 
 
+def p1_decided(spark: SparkSession, d: str) -> DataFrame:
+    """What decided each line: the wrapper, or an exemplar where the wrapper doesn't."""
+    return boilerplate.decided_lines(_t(spark, d, "extracted_documents"), _t(spark, d, "documents_manifest"))
+
+
 def p1_wrappers(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.wrappers(_t(spark, d, "extracted_documents"), _t(spark, d, "documents_manifest"))
 
@@ -150,7 +155,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_wrappers, p1_main_text, p2_found, p2_groups, p2_files, p3_found, p3_counts, p4_found, p4_slices,
+        p1_found, p1_decided, p1_wrappers, p1_main_text, p2_found, p2_groups, p2_files, p3_found, p3_counts, p4_found, p4_slices,
         p4_tokenizer_slices, p5_found, p5_lines, p5_clean, p6_found, p6_top_score, p6_scores, p7_found, p7_clean,
         p8_found, p9_found, p9_sources, p9_mix, p9_tokenizer_sources, p10_found, p10_labels, p10_clean,
     )

@@ -153,14 +153,23 @@ def test_site():
 
 def test_wrapper_has_optional_repeated_and_slots():
     pages = [
-        [(1, "welcome to §", 0), (2, "see alpha0 now", 0), (3, "see alpha1 now", 0), (9, "bye all", 0)],
-        [(1, "welcome to §", 0), (2, "see beta now", 0), (8, "extra bit", 0), (9, "bye all", 0)],
-        [(1, "welcome to §", 0), (2, "see gamma now", 0), (7, "extra bit", 0), (9, "bye all", 0)],
+        [(1, "welcome to §", 0, False), (2, "see alpha0 now", 0, False), (3, "see alpha1 now", 0, False), (9, "bye all", 0, False)],
+        [(1, "welcome to §", 0, False), (2, "see beta now", 0, False), (8, "extra bit", 0, False), (9, "bye all", 0, False)],
+        [(1, "welcome to §", 0, False), (2, "see gamma now", 0, False), (7, "extra bit", 0, False), (9, "bye all", 0, False)],
     ]
-    wrapper = {e["element"]: e for e in boilerplate.infer_wrapper(boilerplate._shaped(pages))}
-    assert [e for e in wrapper if wrapper[e]["support"] > 1] == ["welcome to §", "see * now", "extra bit", "bye all"]
-    assert wrapper["see * now"]["repeated"] and wrapper["see * now"]["slots"] == 1 and wrapper["extra bit"]["optional"]
-    assert not wrapper["bye all"]["optional"]
+    shaped = boilerplate.shape(pages, boilerplate.fixed_words(pages), [])
+    wrapper = boilerplate.infer_wrapper(shaped, boilerplate.owners(pages))
+    assert wrapper.order == ["welcome to §", "see * now", "extra bit", "bye all"]
+    assert wrapper.repeated == {"see * now"} and wrapper.support["extra bit"] == 2 and wrapper.support["bye all"] == 3
+    assert wrapper.aligned(["bye all", "welcome to §", "extra bit", None]) == {"welcome to §", "extra bit"}
+
+
+def test_streams_read_whole_lines_and_whole_words():
+    text = "# T\n_Source: https://www.co-op.example/x_\n_Retrieved_\ncollect contact co-op co op\n" + "We use cookies and similar tools " + "and more " * 60
+    stream = boilerplate.line_stream(text, "https://www.co-op.example/x", "co-op")
+    assert stream[0] == (0, "t", 0, True) and stream[1][:3] == (4, "collect contact § §", 0)
+    assert stream[2][2] == 1 and stream[2][1].startswith("#")
+    assert boilerplate.line_stream(text, None, "co")[1][1] == "collect contact co-op co op"
 
 
 def index(n=1000):

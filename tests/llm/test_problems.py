@@ -1,6 +1,7 @@
 """The problems' queries against DuckDB or brute force, and the operators on awkward tables."""
 
 import math
+import random
 import re
 import sys
 from collections import Counter
@@ -77,11 +78,52 @@ def test_pages_that_are_awkward(spark):
     assert distinctive.term_scores(p, top_by="weight").count() == 2
 
 
+def site_pages(n, own, top=(), bottom=(), host="www.a.example", each=None):
+    """n pages of one host: lines above, the page's own text of `own` lines, lines below."""
+    def page(i):
+        code = "".join(chr(97 + int(c)) for c in str(i))
+        dice = random.Random(i)
+        text = [" ".join("".join(dice.choices("abcdefghiklmnoprstu", k=5)) for _ in range(dice.randint(4, 30))) + "." for _ in range(own)]
+        if each:
+            text.insert(1 + i % (own - 1), each)
+        return "\n".join([f"# Rules {code}x", "", f"_Source: https://{host}/x{i}_", "", "_Retrieved: 2020-01-01_", "", *top, *text, *bottom])
+
+    return [(f"{host}{i}", page(i)) for i in range(n)]
+
+
+def test_wrapper_finds_wording_no_exemplar_knows(spark):
+    long = "Wir und unsere Dienstleister speichern auf Ihrem Gerät kleine Merkzettel, damit " + " und ".join(f"Zweck {c}" for c in "abcdefghijklmnopqrstuvwxyz") + " gelingt."
+    assert len(long) > 300
+    top, bottom = ("Torta Pasta Vino", "Vai al sommario", long), ("Scrivi alla redazione", "## Altre letture", "Tutti i diritti sono di A.")
+    clause = "This clause of ours stands in every text."
+    rows = site_pages(40, 6, top, bottom, each=clause)
+    got = {tuple(r) for r in boilerplate.decided_lines(pages(spark, rows), manifest(spark, [])).collect()}
+    want = set()
+    for key, text in rows:
+        want |= {(key, n, "wrapper") for n, line in enumerate(text.split("\n"), 1) if line in top + bottom}
+    assert got == want
+
+
+def test_sites_under_a_country_are_apart(spark):
+    urls = ["https://www.bbc.co.uk/a", "shop.foo.com.au", "http://10.0.0.1/x", "a", "", None, " HTTPS://X.Y.example.:80/z ", "user@h.org/p", "co.uk"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", boilerplate.site_column("url").alias("site")).collect()
+    assert {r.url: r.site for r in rows} == {u: boilerplate.site_of(u) for u in urls}
+    assert [boilerplate.site_of(u) for u in urls[:3]] == ["bbc", "foo", "10.0.0.1"]
+    rows = [r for i in range(6) for r in site_pages(1, 4, ("Our own nook",), host=f"www.s{i}.co.uk")]
+    assert boilerplate.decided_lines(pages(spark, rows), manifest(spark, [])).count() == 0
+
+
+def test_copies_and_versions_of_a_page_are_no_template(spark):
+    (_, text), = site_pages(1, 8)
+    copies = [(f"c{i}", text) for i in range(30)] + [(f"v{i}", text + f"\nEdition {i} is this.") for i in range(12)]
+    assert boilerplate.decided_lines(pages(spark, copies), manifest(spark, [])).count() == 0
+
+
 def test_elements_of_a_large_site_add_up(spark):
-    rows = [(f"p{i}", text_page("see our quokka nook" if i < 4 else "One line with four words here.")) for i in range(1500)]
+    rows = [(k, t + "\nsee our quokka nook" * (i < 9)) for i, (k, t) in enumerate(site_pages(1500, 3))]
     p, m = pages(spark, rows), manifest(spark, [])
-    assert {tuple(r) for r in boilerplate.boilerplate_lines(p, m).collect()} == {(f"p{i}", 7) for i in range(4)}
-    assert [(r.element, r.support, r.optional) for r in boilerplate.wrappers(p, m).collect() if "nook" in r.element] == [("see our quokk§ nook", 4, True)]
+    assert {(r.doc_id, r.line_no) for r in boilerplate.decided_lines(p, m).collect()} == {(f"www.a.example{i}", 10) for i in range(9)}
+    assert [(r.support, r.optional, r.chrome) for r in boilerplate.wrappers(p, m).collect() if "nook" in r.element] == [(9, True, True)]
 
 
 def test_empty_tables(spark):
