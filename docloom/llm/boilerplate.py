@@ -20,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -373,7 +374,7 @@ def line_stream(text: str, url: str | None, site: str | None) -> list[tuple[int,
     return out
 
 
-_TOKEN = re.compile(r"#-?[0-9a-f]+$|\w+|[^\w\s]")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def _title(stream) -> str | None:
@@ -382,8 +383,9 @@ def _title(stream) -> str | None:
 
 
 def _words(stream) -> set[str]:
-    title = _title(stream)
-    return {w for n, low, _, _ in stream if n and low for w in _TOKEN.findall(low)}.union(_TOKEN.findall(title) if title else ())
+    """The words of a stream's title and lines; a long line's hash isn't one."""
+    lows = [low for n, low, _, _ in stream if n and low and low[0] != "#"]
+    return set(_TOKEN.findall("\n".join([*lows, _title(stream) or ""])))
 
 
 def fixed_words(streams) -> set[str]:
@@ -428,6 +430,8 @@ def shape(streams, fixed: set[str], titles: list[str]) -> list[list[tuple[int, s
     known: dict[tuple[str, bool], str] = {}
 
     def element(low: str, heading: bool) -> str:
+        if low[0] == "#":
+            return low
         s = f" {' '.join(_slotted(low, fixed))} "
         for t in longest:
             s = s.replace(f" {t} ", " ¤ ")
@@ -533,18 +537,20 @@ def element_scores(shaped, wrapper: Wrapper) -> dict[str, tuple[float, int]]:
         if slots:  # a page without a text slot doesn't show where the text is
             outer.update({k for i, k in enumerate(keys) if k and (i <= slots[0] or i >= slots[-1])})
     score = {k: outer[k] / pages[k] for k in wrapper.place}
-    total: dict[str, list] = {}
+    ids = {k: i for i, k in enumerate(dict.fromkeys(k for s in shaped for _, k, _ in s))}
+    if not ids:
+        return {}
+    flat = np.fromiter((i for s in shaped for i in (-1, *(ids[k] for _, k, _ in s), -2)), dtype=np.int64)
+    at = np.flatnonzero(flat >= 0)
+    lines = np.bincount(flat[at], minlength=len(ids))
+    passed = np.array([score.get(k, 0.0) for k in ids])
+    within = np.array([k in wrapper.place for k in ids])
+    total = np.zeros(len(ids))
     for _ in range(ROUNDS):
-        total = {}
-        for s in shaped:
-            near = [1.0, *(score.get(k, 0.0) for _, k, _ in s), 1.0]
-            for i, (_, k, _) in enumerate(s):
-                if k is not None and k != "*":
-                    held = total.setdefault(k, [0.0, 0])
-                    held[0] += max(near[i], near[i + 2])
-                    held[1] += 1
-        score = {k: total[k][0] / total[k][1] for k in wrapper.place}
-    return {k: (a, n) for k, (a, n) in total.items()}
+        near = np.where(flat < 0, 1.0, passed[flat])
+        total = np.bincount(flat[at], np.maximum(near[at - 1], near[at + 1]), minlength=len(ids))
+        passed = np.where(within, total / np.maximum(lines, 1), 0.0)
+    return {k: (float(total[i]), int(lines[i])) for k, i in ids.items() if k is not None and k != "*"}
 
 
 def verdict(element: str, support: int, score: float) -> bool | None:
@@ -555,26 +561,32 @@ def verdict(element: str, support: int, score: float) -> bool | None:
     return False if support >= OWN_SUPPORT and score < OWN_SCORE else None
 
 
-_LINE = pa.struct([("n", pa.int32()), ("low", pa.string()), ("label", pa.int8()), ("heading", pa.bool_())])
-_STREAM = "array<struct<n: int, low: string, label: tinyint, heading: boolean>>"
+#: A stream as three arrays: line numbers, normalised lines, and label plus 4 for a heading.
+_STREAM = "n array<int>, low array<string>, flag array<tinyint>"
 
 
 def site_streams(pages: DataFrame, manifest: DataFrame, text_col: str = "markdown") -> DataFrame:
-    """``doc_id, site, body, lines``, one row per ``doc_id``: the stream of a page with its hash, and its site, from the manifest's address
+    """``doc_id, site, body`` and the stream of a page, one row per ``doc_id``: ``body`` is the stream's hash; the site comes from the manifest's address
     or, where that is missing, from the page's own header."""
 
     def streams(batches):
         for batch in batches:
-            sites, lines = [], []
+            sites, ends, n, low, flag = [], [0], [], [], []
             for text in batch.column(1):
                 text = text.as_py()
                 url = header_url(text)
                 site = site_of(url)
                 sites.append(site)
-                lines.append([dict(zip(("n", "low", "label", "heading"), x)) for x in line_stream(text or "", url, site)])
+                for number, line, label, heading in line_stream(text or "", url, site):
+                    n.append(number)
+                    low.append(line)
+                    flag.append(label + 4 * heading)
+                ends.append(len(n))
+            offsets = pa.array(ends, pa.int32())
+            arrays = (pa.array(n, pa.int32()), pa.array(low, pa.string()), pa.array(flag, pa.int8()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sites, pa.string()), pa.array(lines, pa.list_(_LINE))],
-                names=["doc_id", "header_site", "lines"],
+                [batch.column(0), pa.array(sites, pa.string()), *(pa.ListArray.from_arrays(offsets, a) for a in arrays)],
+                names=["doc_id", "header_site", "n", "low", "flag"],
             )
 
     sites = (
@@ -583,19 +595,24 @@ def site_streams(pages: DataFrame, manifest: DataFrame, text_col: str = "markdow
     )
     streams_df = (
         pages.filter("doc_id is not null").select("doc_id", F.col(text_col).cast("string"))
-        .mapInArrow(streams, f"doc_id string, header_site string, lines {_STREAM}")
-        .groupBy("doc_id").agg(F.first(F.struct("header_site", "lines")).alias("p"))
+        .mapInArrow(streams, f"doc_id string, header_site string, {_STREAM}")
+        .groupBy("doc_id").agg(F.first(F.struct("header_site", "n", "low", "flag")).alias("p"))
     )
     site = F.coalesce("site", "p.header_site", F.lit(""))
     return streams_df.join(sites, "doc_id", "left").select(
-        "doc_id", site.alias("site"), F.xxhash64(site, F.col("p.lines")).alias("body"), F.col("p.lines").alias("lines")
+        "doc_id", site.alias("site"), F.xxhash64(site, "p.n", "p.low", "p.flag").alias("body"), "p.n", "p.low", "p.flag"
     )
 
 
 def _bodies(streams: DataFrame) -> DataFrame:
-    """``site, body, title, lines``: the different streams of a site, so a group of copies is one row."""
-    title = F.when(F.try_element_at("lines", F.lit(1))["n"] == 0, F.try_element_at("lines", F.lit(1))["low"])
-    return streams.groupBy("site", "body").agg(F.first("lines").alias("lines")).withColumn("title", title)
+    """The different streams of a site, with ``title``: of a group of copies the first ``doc_id`` stays. Which ones are
+    copies is found without their lines."""
+    copies = streams.groupBy("site", "body").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("same")).filter("same > 1")
+    keepers = small_side(cut(copies.select("site", "body", "keeper"), "copies"))
+    first = F.try_element_at("n", F.lit(1)) == 0
+    return streams.join(keepers, ["site", "body"], "left").filter("keeper is null or keeper = doc_id").drop("keeper", "doc_id").withColumn(
+        "title", F.when(first, F.try_element_at("low", F.lit(1)))
+    )
 
 
 def _sizes(bodies: DataFrame) -> DataFrame:
@@ -635,14 +652,14 @@ def _site_words(streams: DataFrame, sizes: DataFrame) -> DataFrame:
         seen = Counter()
         for batch in batches:
             for site, stream in zip(batch.column(0).to_pylist(), _of(batch)):
-                seen.update((site, w) for w in _words(stream))
+                seen.update([(site, w) for w in _words(stream)])
                 if len(seen) >= COUNTED_WORDS:
                     yield rows(seen)
                     seen = Counter()
         yield rows(seen)
 
     several = sizes.filter("blocks > 1")
-    counts = streams.join(several.select("site"), "site", "left_semi").select("site", "lines").mapInArrow(count, "site string, word string, n long")
+    counts = streams.join(several.select("site"), "site", "left_semi").select("site", "n", "low", "flag").mapInArrow(count, "site string, word string, n long")
     return _to_blocks(
         counts.groupBy("site", "word").agg(F.sum("n").alias("n")).join(several, "site")
         .filter(F.col("n") > F.greatest(F.lit(1), F.floor(F.col("pages") / F.lit(RARE_PAGES)))),
@@ -653,7 +670,9 @@ def _site_words(streams: DataFrame, sizes: DataFrame) -> DataFrame:
 def _title_forms(blocks: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
     """``site, block, form`` (an array) of every block of a site that has several: the forms of the site's titles, at most
     RARE_TITLES of them. Only titles travel."""
-    titles = blocks.filter("blocks > 1").select("site", "block", F.filter("lines", lambda x: x["n"] == 0).alias("lines"))
+    titles = blocks.filter("blocks > 1 and title is not null").select(
+        "site", "block", F.array(F.lit(0)).alias("n"), F.array("title").alias("low"), F.array(F.lit(4).cast("tinyint")).alias("flag")
+    )
 
     def forms(key, table, fixed):
         found = title_forms(_of(table), {w for ws in fixed.column("word").to_pylist() for w in ws})
@@ -672,7 +691,7 @@ def _title_forms(blocks: DataFrame, words: DataFrame, sizes: DataFrame) -> DataF
 def _by_block(streams: DataFrame, function, schema: str) -> DataFrame:
     """``function(site, bodies, shaped, owner, several)`` of every block, its streams shaped by the slots of the whole site;
     ``several``: has the site other blocks?"""
-    bodies = cut(_bodies(streams), "bodies")
+    bodies = _bodies(streams)
     sizes = cut(_sizes(bodies), "sizes")
     blocks = _in_blocks(bodies, sizes)
     words = cut(_site_words(bodies, sizes), "words")
@@ -701,7 +720,9 @@ def _by_block(streams: DataFrame, function, schema: str) -> DataFrame:
 
 
 def _of(table) -> list[list[tuple[int, str | None, int, bool]]]:
-    return [[(x["n"], x["low"], x["label"], x["heading"]) for x in lines or []] for lines in table.column("lines").to_pylist()]
+    """The streams of a table or batch."""
+    columns = (table.column(c).to_pylist() for c in ("n", "low", "flag"))
+    return [[(n, low, f & 3, f > 3) for n, low, f in zip(*page)] for page in zip(*columns)]
 
 
 def _decided(elements: DataFrame) -> DataFrame:
@@ -731,21 +752,31 @@ def decided_lines(pages: DataFrame, manifest: DataFrame, text_col: str = "markdo
         wrapper = infer_wrapper(shaped, owner)
         sums = element_scores(shaped, wrapper)
         ids = {k: hash_text(f"{site}\n{k}") for k in sums} if several else {}
+        solid_ = {k: solid(k) for k in sums}
         here = {} if several else {k: verdict(k, wrapper.support[k], a / n) for k, (a, n) in sums.items()}
-        rows = [
-            (None, None, ids[k], None, None, wrapper.support[k], a, n, solid(k), "*" in k) for k, (a, n) in sums.items()
-        ] if several else []
-        nothing = (None,) * 5
+        elements = list(sums) if several else []
+        body, line, eid, known, by = [], [], [], [], []
         for key, stream in zip(bodies, shaped):
             for n, k, label in stream:
-                if several and k is not None and k != "*" and (label > 0 or solid(k)):
-                    rows.append((key, n, ids[k], label > 0, None, *nothing))
-                elif here.get(k, False) or label > 0 and here.get(k) is None:
-                    rows.append((key, n, None, None, bool(here.get(k)), *nothing))
-        columns = list(zip(*rows)) or [()] * 10
+                if several and k is not None and k != "*" and (label > 0 or solid_[k]):
+                    row = (ids[k], label > 0, None)
+                elif (chrome := here.get(k)) or label > 0 and chrome is None:
+                    row = (None, None, bool(chrome))
+                else:
+                    continue
+                body.append(key)
+                line.append(n)
+                for column, value in zip((eid, known, by), row):
+                    column.append(value)
+        nothing = [None] * len(body)
+        none = [None] * len(elements)
+        columns = (
+            body + none, line + none, eid + [ids[k] for k in elements], known + none, by + none, nothing + [wrapper.support[k] for k in elements],
+            nothing + [sums[k][0] for k in elements], nothing + [sums[k][1] for k in elements], nothing + [solid_[k] for k in elements],
+            nothing + ["*" in k for k in elements],
+        )
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_())
-        names = [c.split(" ")[0] for c in schema.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split(" ")[0] for c in schema.split(", ")])
 
     found = cut(_by_block(streams, find, schema), "found")
     lines = found.filter("body is not null")
