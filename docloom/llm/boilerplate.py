@@ -38,7 +38,7 @@ LINE_WORDS = 24
 MIN_SUPPORT = 4
 #: Score from which an element belongs to the template; with slots, which match by chance, more is asked of few pages.
 CHROME_SCORE = 0.55
-SLOT_MARGIN = 0.9
+SLOT_MARGIN = 1.2
 #: Pages from which, and score below which, an element belongs to the text whatever an exemplar says.
 OWN_SUPPORT = 20
 OWN_SCORE = 0.3
