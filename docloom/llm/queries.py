@@ -47,6 +47,16 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_t(spark, d, "documents"), **NEAR)
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that has a copy or a similar text, with its class and the number of its links."""
+    return neardup.classes(_t(spark, d, "documents"), **NEAR).withColumnRenamed("id", "doc_id")
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs between representatives of classes, with their similarity."""
+    return neardup.similar_classes(_t(spark, d, "documents"), **NEAR)[1].withColumn("similarity", F.round("similarity", 6))
+
+
 def p2_files(spark: SparkSession, d: str) -> DataFrame:
     return neardup.file_groups(
         _t(spark, d, "documents"), _t(spark, d, "file_meta"), _t(spark, d, "duplicates"), **NEAR
@@ -155,7 +165,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_decided, p1_wrappers, p1_main_text, p2_found, p2_groups, p2_files, p3_found, p3_counts, p4_found, p4_slices,
+        p1_found, p1_decided, p1_wrappers, p1_main_text, p2_found, p2_groups, p2_classes, p2_links, p2_files, p3_found, p3_counts, p4_found, p4_slices,
         p4_tokenizer_slices, p5_found, p5_lines, p5_clean, p6_found, p6_top_score, p6_scores, p7_found, p7_clean,
         p8_found, p9_found, p9_sources, p9_mix, p9_tokenizer_sources, p10_found, p10_labels, p10_clean,
     )

@@ -41,6 +41,12 @@ def oracle_sql() -> dict[str, str]:
         f"w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 1), "
         "lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS s FROM w WHERE len(ws) >= 60), z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)"
     )
+    near = (
+        f"{shingles}, j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), "
+        "p AS (SELECT a, b, c, x.n AS na, y.n AS nb FROM j JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)), "
+        "ends AS (SELECT a AS doc_id, b AS other, c = na AND c = nb AS same FROM p UNION ALL SELECT b, a, c = na AND c = nb FROM p), "
+        "k AS (SELECT doc_id, least(doc_id, coalesce(min(CASE WHEN same THEN other END), doc_id)) AS class_id, count(*) AS links FROM ends GROUP BY doc_id)"
+    )
     spans = (
         "list_transform(range(1, len(ws) - 10), lambda i: array_to_string(list_slice(ws, i, i + 11), ' '))"
     )
@@ -49,6 +55,15 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {shingles}, j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL) "
             "SELECT a AS doc_id_a, b AS doc_id_b FROM j JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)"
         ),
+        "p2_classes": f"WITH {near} SELECT doc_id, class_id, links FROM k",
+        "p2_links": (
+            f"WITH {near} SELECT a, b, round(CAST(c AS DOUBLE) / (na + nb - c), 6) AS similarity FROM p JOIN k x ON x.doc_id = a AND x.class_id = a "
+            "JOIN k y ON y.doc_id = b AND y.class_id = b"
+        ),
+        "p2_groups": (
+            f"WITH RECURSIVE {near}, w2 AS (SELECT DISTINCT doc_id, doc_id AS seen FROM ends UNION SELECT w2.doc_id, ends.other FROM w2 JOIN ends ON ends.doc_id = w2.seen) "
+            "SELECT doc_id AS id, min(seen) AS group_id FROM w2 GROUP BY doc_id"
+        ),
         "p3_found": f"WITH {_COUNTS} SELECT token, mark FROM m WHERE mark IS NOT NULL",
         "p3_counts": f"WITH {_COUNTS} SELECT * FROM m",
         "p4_found": f"WITH {_SLICES} SELECT platform_slug, language, doc_type FROM s WHERE tokens >= 0.005 * (SELECT sum(tokens) FROM s)",

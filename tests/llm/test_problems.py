@@ -159,6 +159,39 @@ def test_near_duplicates(spark):
     assert {tuple(r) for r in neardup.similar_pairs(d, min_words=200).collect()} == {(7, 8)}
 
 
+def brute_force_pairs(texts, shingle=5, threshold=0.8):
+    sets = {}
+    for key, text in texts:
+        found = re.findall(r"[^\W_]+", (text or "").lower())
+        if key is not None and len(found) >= shingle:
+            sets[key] = set(zip(*(found[i:] for i in range(shingle))))
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+
+
+def family(n, size, edits, seed):
+    """n different edits of one text of `size` words."""
+    dice = random.Random(seed)
+    base = [f"{seed}t{j}" for j in range(size)]
+    return [" ".join(f"e{dice.random()}" if j in at else w for j, w in enumerate(base)) for _ in range(n) for at in [set(dice.sample(range(size), dice.randint(1, edits)))]]
+
+
+def test_large_nodes_go_down_the_forest_and_lose_no_link(spark):
+    texts = list(enumerate(family(70, 160, 2, 1) + family(30, 120, 3, 2) + family(1, 100, 1, 3) * 40))
+    want = brute_force_pairs(texts)
+    assert len(want) > 2000
+    for node in (5, 1000):
+        assert {tuple(r) for r in neardup.similar_pairs(docs(spark, texts), node=node).collect()} == want
+    links = Counter(x for pair in want for x in pair)
+    got = {r.id: (r.class_id, r.links) for r in neardup.classes(docs(spark, texts), node=5).collect()}
+    assert {k: n for k, (_, n) in got.items()} == links and {got[k][0] for k in range(100, 140)} == {100}
+
+
+def test_equal_sets_of_other_words_are_compared(spark, monkeypatch):
+    turn = "a b c d e a b c d e a b c"
+    d = docs(spark, [(1, turn), (2, turn + " d e a"), (3, turn.upper())])
+    assert {(r.id, r.class_id) for r in neardup.similar_classes(d)[0].collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_hot_group_of_copies(spark):
     d = docs(spark, [(i, "same text of copies " * 5) for i in range(60)] + [(100 + i, f"q{i} " + " ".join(f"{i}x{j}" for j in range(30))) for i in range(40)])
     members, links = neardup.similar_classes(d)
