@@ -125,6 +125,11 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_pages(_t(spark, d, "extracted_documents"))
 
 
+def p7_regions(spark: SparkSession, d: str) -> DataFrame:
+    """What the regions of content and of markup of each page hold."""
+    return markup.page_regions(_t(spark, d, "extracted_documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
@@ -166,7 +171,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         p1_found, p1_decided, p1_wrappers, p1_main_text, p2_found, p2_groups, p2_classes, p2_links, p2_files, p3_found, p3_counts, p4_found, p4_slices,
-        p4_tokenizer_slices, p5_found, p5_lines, p5_clean, p6_found, p6_top_score, p6_scores, p7_found, p7_clean,
+        p4_tokenizer_slices, p5_found, p5_lines, p5_clean, p6_found, p6_top_score, p6_scores, p7_found, p7_clean, p7_regions,
         p8_found, p9_found, p9_sources, p9_mix, p9_tokenizer_sources, p10_found, p10_labels, p10_clean,
     )
     return {f.__name__: f for f in named}

@@ -137,6 +137,30 @@ def test_code_and_comments():
     assert markup.clean_markup(None) is None and markup.clean_markup("") == ""
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        (r"\textbf{x}; then; stop", "x; then; stop"), ('<div\n class="x">hello', "hello"), ('see <a title="a>b">link</a> now', "see link now"),
+        ("<p>a</p><script>var x = 1;\nif (a<b) {}</script><p>b</p>", "a\nb"), ("<script>never closed\ntext after", "never closed\ntext after"),
+        ("\\begin{equation}\na^2 + b\n\\end{equation}", "$$\na^2 + b\n$$"), (r"\[ x^2 \] and \(y\)", "$$x^2$$ and $y$"),
+        ("x\n<pre>\ncode &lt; y\n  z</pre>\nrest", "x\n```\n\ncode < y\n  z\n```\nrest"), ("use &lt;b&gt; here &amp; there", "use `<b>` here & there"),
+        ("<ul><li>one</li><li>two</li></ul>", "- one\n- two"), ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>", "a | b\nc"),
+        ("- <b>x</b> y", "- x y"), ("1. <h3>x</h3>", "1. x"), ("5 < 6 and 7 > 3 AT&T &copy; 1", "5 < 6 and 7 > 3 AT&T © 1"), ("a<br> b", "a\nb"),
+    ],
+)
+def test_clean_text_follows_the_parser(text, clean):
+    assert markup.clean_markup(text) == clean
+
+
+def test_regions_part_content_from_markup():
+    rows = ["A sentence of plain words that goes on for a while."] * 12
+    text = page(*rows, *["<div><span></span></div>"] * 12, *rows)
+    got = {r[0]: r[1:] for r in markup.region_sizes(text)}
+    assert got["markup"][2] >= 40 and got["content"][1] > 20 * 50 and got["markup"][1] <= 3 * 51
+    assert markup.clean_markup(text).count("A sentence") == 24
+    assert [r[0] for r in markup.region_sizes("one line")] == ["content"]
+
+
 def test_very_long_text():
     text = page(*["word " * 50 + "<b>x</b>"] * 20_000)
     assert len(markup.residue_lines(text)) == 20_000
