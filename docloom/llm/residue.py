@@ -4,7 +4,8 @@ Exemplars are labelled passages. An inverted index leads from a passage's terms
 exemplar is posted only under its heaviest terms, as many as it takes that a passage without any of them can't reach
 the threshold. TF-IDF containment, with weights from the corpus, is computed both ways on passage windows (sentences
 and lines): how much of the exemplar the window holds, and how much of the window the exemplar explains.
-Unfilled fields are exemplars by shape: the delimiters of template languages around a name.
+Unfilled fields are exemplars by shape: the delimiters of template languages around a name are one term of the passage,
+whose window is the field alone. The exemplars are a parameter; so is what counts as residue.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom.llm.kernels import words
 from docloom.shared import cut
 
-#: Labelled passages. The first word is the label; names of sites and pages are left out.
+#: Labelled passages. The first word is the label; names of sites and pages are left out. ⟨…⟩ is a shape.
 EXEMPLARS = """
 script please enable javascript to view this page
 script you need to enable javascript to run
@@ -125,6 +126,63 @@ filler hier kommt der text
 filler ici viendra le texte
 filler texto de ejemplo
 filler здесь будет текст документа
+error sorry the page you were looking for does not exist
+error the page you are looking for doesn't exist
+error the page you requested could not be found
+error 400 bad request
+error 401 unauthorized
+error 405 method not allowed
+error 408 request timeout
+error 410 gone
+block 429 too many requests
+script javascript must be turned on for this website to work
+script javascript is required to use this site
+script please turn on javascript
+field ⟨double_brace⟩
+field ⟨brace_percent⟩
+field ⟨dollar_brace⟩
+field ⟨brace_dollar⟩
+field ⟨double_bracket⟩
+field ⟨double_angle⟩
+field ⟨angle_percent⟩
+field ⟨double_at⟩
+field ⟨double_underscore⟩
+field ⟨percent⟩
+field ⟨hash⟩
+field ⟨angle_capitals⟩
+field ⟨brace_camel⟩
+field ⟨brace_snake⟩
+field ⟨bracket_order⟩
+field ⟨bracket_capitals⟩
+field ⟨bracket_dots⟩
+field ⟨crosses⟩
+field ⟨to_do⟩
+field ⟨parenthesis_order⟩
+field ⟨blank⟩
+"""
+#: The shapes of fields, a name and what a field of this shape looks like.
+SHAPES = r"""
+double_brace \{\{\s*[\w .-]+\s*\}\}
+brace_percent \{%\s*\w+\s*%\}
+dollar_brace \$\{\s*[\w.]+\s*\}
+brace_dollar \{\$\w+\}
+double_bracket \[\[\s*\w+\s*\]\]
+double_angle <<\s*\w+(?: \w+){0,4}\s*>>
+angle_percent <%=?\s*\w+\s*%>
+double_at @@\w+@@
+double_underscore (?<![A-Za-z0-9_])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![A-Za-z0-9_])
+percent %[A-Za-z]+(?:_[A-Za-z]+)*%
+hash \#[A-Za-z]+(?:_[A-Za-z]+)*\#
+angle_capitals <[A-Z]+(?:[_ ][A-Z]+)*>
+brace_camel \{[A-Za-z]*[A-Z][A-Za-z]*\}
+brace_snake \{[a-z]+(?:_[a-z]+)+\}
+bracket_order \[(?i:insert|enter|your|add)\b[^\[\]\n]{0,60}\]
+bracket_capitals \[[A-Z]{2,}(?:[ _][A-Z]+)*\]
+bracket_dots \[[●•_…. ]+\]
+crosses \bX{3,}\ ?\([^()\n]{1,60}\)
+to_do \b(?:TODO|FIXME|TBD|TBC)\b:|[\[(](?:TODO|FIXME|TBD|TBC)[\])]
+parenthesis_order \((?i:enter|insert|add)\ (?:the\ |your\ )?[a-z ]{1,40}\)
+blank _{5,}\ ?\([^()\n]{1,60}\)
 """
 #: Bags of filler words (the printers' Latin, keyboard mashing); a window made of them is a match.
 FILLER_BAGS = """
@@ -132,20 +190,17 @@ lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor inc
 ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure
 dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat
 non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas vestibulum tortor quam feugiat
+vitae ultricies eget tempor sit amet ante donec eu libero sit amet quam egestas semper aenean ultricies mi vitae est mauris
 foo bar baz qux blah asdf qwer qwerty test aaa bbb xxx yyy zzz
 """
 #: Words of the second bag that real text uses alone.
 MASH = ("foo", "bar", "baz", "qux", "blah", "asdf", "qwer", "qwerty", "test", "aaa", "bbb", "xxx", "yyy", "zzz")
 
 _CODE = re.compile(r"(?<!`)(`+)(?!`)[^\n]+?(?<!`)\1(?!`)")
-_FIELD = re.compile(
-    r"\{\{\s*[\w .-]+\s*\}\}|\{%\s*\w+\s*%\}|\$\{\s*[\w.]+\s*\}|\[\[\s*\w+\s*\]\]|<<\s*\w+\s*>>|<%=?\s*\w+\s*%>|@@\w+@@"
-    r"|%[A-Za-z]+(?:_[A-Za-z]+)*%|#[A-Za-z]+(?:_[A-Za-z]+)*#|<[A-Z]+(?:[_ ][A-Z]+)*>|\{[A-Za-z]*[A-Z][A-Za-z]*\}|\{[a-z]+(?:_[a-z]+)+\}"
-    r"|\[(?i:insert|enter|your|add)\b[^\[\]\n]{0,60}\]|\[[A-Z]{2,}(?:[ _][A-Z]+)*\]|\[[●•_…. ]+\]"
-    r"|\bX{3,} ?\([^()\n]{1,60}\)|\b(?:TODO|FIXME|TBD|TBC)\b|\((?i:enter|insert|add) (?:the |your )?[a-z ]{1,40}\)|_{5,}"
-)
+_FIELD = re.compile("|".join("(?P<%s>%s)" % tuple(line.split(" ", 1)) for line in SHAPES.strip().split("\n")))
 #: What any field has; quick to look for.
-_FIELD_MARK = re.compile(r"[{\[<%@#]|____|\((?i:enter|insert|add)|XXX|TODO|FIXME|TBD|TBC")
+_FIELD_MARK = re.compile(r"[{\[<%@#]|__|\((?i:enter|insert|add)|XXX|TODO|FIXME|TBD|TBC")
 _PASSAGE = re.compile(r"(?<=[.!?…])\s+|[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 
 #: Share of an exemplar's weight that a window must hold.
@@ -154,19 +209,24 @@ CONTAINMENT = 0.8
 COVERAGE = 0.6
 
 
+def labelled(exemplars: str = EXEMPLARS) -> list[tuple[str, list[str]]]:
+    """(label, terms) of the exemplars, one per line; a shape is a single term."""
+    rows = [line.split(" ", 1) for line in exemplars.strip().split("\n") if " " in line]
+    return [(label, [text] if text[0] == "⟨" else words(text)) for label, text in rows]
+
+
 class Index:
     """Inverted index over the exemplars for given corpus counts (term -> records that hold it) of ``n`` records."""
 
-    def __init__(self, df: dict[str, int], n: int) -> None:
+    def __init__(self, df: dict[str, int], n: int, exemplars: str = EXEMPLARS) -> None:
         self.n = max(n, 1)
         self.df = df
         self.labels: list[str] = []
         self.terms: list[frozenset[str]] = []
         self.total: list[float] = []
         self.posting: dict[str, list[int]] = {}
-        for line in EXEMPLARS.strip().split("\n"):
-            label, _, text = line.partition(" ")
-            terms = sorted(set(words(text)), key=lambda t: (-self.weight(t), t))
+        for label, found in labelled(exemplars):
+            terms = sorted(set(found), key=lambda t: (-self.weight(t), t))
             total = sum(map(self.weight, terms))
             held = 0.0
             for t in terms:  # without these the containment can't be reached
@@ -189,8 +249,10 @@ class Index:
         """The best match that holds whatever the counts of terms outside ``df`` are, and those that hang on them: label,
         containment, room (what such terms may weigh) and these terms. With ``every``, ``df`` has the counts of all terms."""
         plain = _CODE.sub(" ", text) if "`" in text else text
-        if _FIELD_MARK.search(plain) and _FIELD.search(plain):
-            return ("field", 1.0), []
+        if _FIELD_MARK.search(plain):
+            for m in _FIELD.finditer(plain):
+                for e in self.posting.get(f"⟨{m.lastgroup}⟩", ()):  # the window is the field: held and explained whole
+                    return (self.labels[e], 1.0), []
         of_text = words(text)
         near = self.posting.keys() & of_text
         if not near and sum(w in self.filler for w in of_text) < 4:  # a window of filler has four such words at least
@@ -248,10 +310,10 @@ def document_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def exemplar_counts(counts: DataFrame) -> tuple[dict[str, int], int]:
+def exemplar_counts(counts: DataFrame, exemplars: str = EXEMPLARS) -> tuple[dict[str, int], int]:
     """Records that hold each exemplar term, and the number of records, from the counts of all terms. The result is as long
     as the exemplars have terms, however large the corpus is."""
-    vocabulary = sorted({t for line in EXEMPLARS.strip().split("\n") for t in words(line.partition(" ")[2])})
+    vocabulary = sorted({t for _, terms in labelled(exemplars) for t in terms})
     rows = {r.term: r.n for r in counts.filter(F.col("term").isNull() | F.col("term").isin(vocabulary)).collect()}
     n = rows.pop(None, 0) or 0
     return {t: rows.get(t, 0) for t in vocabulary}, n
@@ -263,18 +325,18 @@ _UNSURE = pa.list_(
 )
 
 
-def residue(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def residue(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exemplars: str = EXEMPLARS) -> DataFrame:
     """``doc_id, label, score`` of every record with residue; label: field, script, loading, block, error or filler.
 
     Null or empty texts have none; a repeated row is reported again; an empty table gives no rows. Only the two named
-    columns are read. Matches that hang on the weights of words no exemplar has are joined with the counts of these.
+    columns are read. ``exemplars``: labelled passages, one per line. Matches that hang on the weights of words no exemplar has are joined with the counts of these.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     terms = cut(document_counts(texts.select("text")), "terms")
-    counts, n = exemplar_counts(terms)
+    counts, n = exemplar_counts(terms, exemplars)
 
     def find(batches):
-        index = Index(counts, n)
+        index = Index(counts, n, exemplars)
         for batch in batches:
             out = ([], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -304,7 +366,7 @@ def residue(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def without_residue(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_residue(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exemplars: str = EXEMPLARS) -> DataFrame:
     """The records without residue, all columns kept; records with a null id stay."""
-    found = residue(docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_hit")).distinct()
+    found = residue(docs, id_col=id_col, text_col=text_col, exemplars=exemplars).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(found, F.col(id_col).cast("long") == F.col("_hit"), "left_anti")

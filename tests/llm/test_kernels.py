@@ -203,7 +203,9 @@ def index(n=1000):
 @pytest.mark.parametrize(
     ("text", "label"),
     [
-        ("Dear [INSERT COMPANY NAME], hello", "field"), ("pay {{ fee_amount }} now", "field"), ("x ${name} y", "field"), ("TODO: product", "field"),
+        ("Dear [INSERT COMPANY NAME], hello", "field"), ("pay {{ fee_amount }} now", "field"), ("x ${name} y", "field"), ("by {$name} now", "field"), ("Dear <<Customer Name>>", "field"), ("1. __COMPANY_NAME__ and", "field"), ("______ (name of firm)", "field"),
+        ("Sorry, the page you were looking for does not exist.", "error"),
+        ("JavaScript must be turned on for this website to work.", "script"), ("HTTP 410 Gone", "error"), ("Pellentesque habitant morbi tristique senectus et netus.", "filler"), ("TODO: product", "field"),
         ("Some text.\nPlease enable JavaScript to view this page.\nMore text.", "script"), ("404 Not Found", "error"), ("Access denied", "block"),
         ("Veniam incididunt esse nulla dolore commodo quis ullamco enim.", "filler"), ("foo bar asdf blah xxx foo", "filler"), ("Loading...", "loading"),
     ],
@@ -218,6 +220,7 @@ def test_residue_is_labelled(text, label):
         "Senders use fields such as `{{first_name}}`; the field is filled.", "visitors see a page with status 404 for 5 days and the seller is told why",
         "If an error message appears during payment, the amount is returned within 3 hours.", "Parts of X use JavaScript to remember your choice; you may block scripts.",
         "Access may be denied to a member of X who received 3 warnings, and the refusal can be appealed.", "note [3] and [sic]", "", "a < b",
+        "see TODO list of the agency", "Name: ________", "call __init__ first", "____ (name)",
         "Placeholder accounts, for example accounts opened only to reserve a name, are removed.",
     ],
 )
@@ -236,6 +239,12 @@ def test_few_distinct_filler_words_are_read(text):
     assert index().match(text) == ("filler", 1.0)
 
 
+def test_exemplars_are_a_parameter():
+    own = residue.Index({}, 1000, "gone the shop has closed\nfield ⟨percent⟩")
+    assert own.match("The shop has closed!") == ("gone", 1.0) and own.match("404 Not Found") is None
+    assert own.match("by %NAME% now") == ("field", 1.0) and own.match("by {{ name }} now") is None
+
+
 def test_no_vocabulary_of_an_empty_corpus():
     assert residue.Index({}, 0).match("404 Not Found")[0] == "error"
 
