@@ -44,11 +44,14 @@ def _none_if_empty(c: Column) -> Column:
     return F.when(~c.isin(*MISSING), c)
 
 
-def page_facts(manifest: DataFrame) -> DataFrame:
+def page_facts(manifest: DataFrame, dates: bool = False) -> DataFrame:
     """``doc_id, platform_slug, language, doc_type`` with one row per ``doc_id``; null where no row gives a value.
 
-    Of contradicting rows the largest value wins. Rows without ``doc_id`` are left out.
+    Of contradicting rows the largest value wins. Rows without ``doc_id`` are left out. With ``dates`` also
+    ``published``: the earliest date of ``last_updated``, null where no row has a possible date.
     """
+    date = F.col("last_updated").cast("string").try_cast("date") if "last_updated" in manifest.columns else F.lit(None).cast("date")
+    published = [F.min(F.col("published")).alias("published")] if dates else []
     return (
         manifest.filter(F.col("doc_id").isNotNull())
         .select(
@@ -56,14 +59,15 @@ def page_facts(manifest: DataFrame) -> DataFrame:
             _none_if_empty(slug(_given(F.col("platform")), "-")).alias("platform_slug"),
             language_code(_given(F.col("language"))).alias("language"),
             _none_if_empty(slug(_given(F.col("doc_type")), "_")).alias("doc_type"),
+            date.alias("published"),
         )
         .groupBy("doc_id")
-        .agg(*(F.max(c).alias(c) for c in ("platform_slug", "language", "doc_type")))
+        .agg(*(F.max(c).alias(c) for c in ("platform_slug", "language", "doc_type")), *published)
     )
 
 
-def with_facts(pages: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Left-join the facts to pages by ``doc_id``; what no row gives is ``unknown``."""
+def with_facts(pages: DataFrame, manifest: DataFrame, dates: bool = False) -> DataFrame:
+    """Left-join the facts to pages by ``doc_id``; what no row gives is ``unknown``, a missing date null."""
     facts = ("platform_slug", "language", "doc_type")
-    joined = pages.drop(*facts).join(page_facts(manifest), "doc_id", "left")
+    joined = pages.drop(*facts, "published").join(page_facts(manifest, dates), "doc_id", "left")
     return joined.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in facts})

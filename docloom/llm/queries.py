@@ -71,6 +71,11 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return termfreq.marked_terms(_t(spark, d, "documents")).drop("id")
 
 
+def p3_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The figures an earlier run stored, beside the true ones."""
+    return termfreq.against_stored(termfreq.marked_terms(_t(spark, d, "documents")), _t(spark, d, "token_frequencies"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     slices = tokenbudget.slice_budget(_t(spark, d, "extracted_documents"), _t(spark, d, "documents_manifest"))
     return slices.filter("tokens * 200 >= total_tokens").select("platform_slug", "language", "doc_type")
@@ -89,7 +94,7 @@ def p4_tokenizer_slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    lines = sitelines.repeated_lines(_t(spark, d, "extracted_documents"), _t(spark, d, "documents_manifest"), min_pages=5)
+    lines = sitelines.repeated_lines(_t(spark, d, "extracted_documents"), _t(spark, d, "documents_manifest"), min_pages=5, min_clusters=1, min_dates=0)
     return lines.select("doc_id", "line_no")
 
 
@@ -101,6 +106,7 @@ def p5_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The pages without the lines of p5_lines."""
     pages = _t(spark, d, "extracted_documents")
     return sitelines.without_lines(pages, sitelines.repeated_lines(pages, _t(spark, d, "documents_manifest")))
 
@@ -170,7 +176,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_decided, p1_wrappers, p1_main_text, p2_found, p2_groups, p2_classes, p2_links, p2_files, p3_found, p3_counts, p4_found, p4_slices,
+        p1_found, p1_decided, p1_wrappers, p1_main_text, p2_found, p2_groups, p2_classes, p2_links, p2_files, p3_found, p3_counts, p3_stored, p4_found, p4_slices,
         p4_tokenizer_slices, p5_found, p5_lines, p5_clean, p6_found, p6_top_score, p6_scores, p7_found, p7_clean, p7_regions,
         p8_found, p9_found, p9_sources, p9_mix, p9_tokenizer_sources, p10_found, p10_labels, p10_clean,
     )

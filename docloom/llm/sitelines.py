@@ -22,7 +22,6 @@ HEADER_LINES = 3
 _LEAD = re.compile(r"^[#>*\-\s]+")
 _DIGITS = re.compile(r"[0-9]+")
 _LETTER_RUNS = r"(?:[^\W\d_]+[\W\d_]+){%d}[^\W\d_]"
-_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 
 def line_key(line: str) -> str:
@@ -31,22 +30,19 @@ def line_key(line: str) -> str:
 
 
 def page_lines(pages: DataFrame, min_letter_runs: int = 4, text_col: str = "markdown") -> DataFrame:
-    """``doc_id, body, published, line_nos, keys``: hashes of the body and of each line that can count."""
+    """``doc_id, body, line_nos, keys``: hashes of the body and of each line that can count."""
     enough = re.compile(_LETTER_RUNS % (min_letter_runs - 1))
 
     def lines(batches):
         for batch in batches:
-            ids, bodies, dates, numbers, keys = [], [], [], [], []
+            ids, bodies, numbers, keys = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 header, body, no, of = 0, [], [], []
-                date = None
                 for i, line in enumerate((text or "").split("\n"), 1):
                     if not line or line.isspace():
                         continue
                     if header < HEADER_LINES:
                         header += 1
-                        if header == HEADER_LINES and (m := _DATE.search(line)):
-                            date = m.group()
                         continue
                     body.append(f"{i} {line}")
                     if enough.search(line):
@@ -54,34 +50,35 @@ def page_lines(pages: DataFrame, min_letter_runs: int = 4, text_col: str = "mark
                         of.append(hash_text(line_key(line)))
                 ids.append(key)
                 bodies.append(hash_text("\n".join(body)))
-                dates.append(date)
                 numbers.append(no)
                 keys.append(of)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.string()), pa.array(bodies, pa.int64()), pa.array(dates, pa.string()),
+                    pa.array(ids, pa.string()), pa.array(bodies, pa.int64()),
                     pa.array(numbers, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "body", "published", "line_nos", "keys"],
+                names=["doc_id", "body", "line_nos", "keys"],
             )
 
     return (
         pages.filter("doc_id is not null").select("doc_id", F.col(text_col).cast("string"))
-        .mapInArrow(lines, "doc_id string, body long, published string, line_nos array<int>, keys array<long>")
-        .groupBy("doc_id").agg(F.min(F.struct("body", "published", "line_nos", "keys")).alias("p")).select("doc_id", "p.*")
+        .mapInArrow(lines, "doc_id string, body long, line_nos array<int>, keys array<long>")
+        .groupBy("doc_id").agg(F.min(F.struct("body", "line_nos", "keys")).alias("p")).select("doc_id", "p.*")
     )
 
 
-def repeated_lines(pages: DataFrame, manifest: DataFrame, *, min_pages: int = 5, min_clusters: int = 1, min_dates: int = 0,
+def repeated_lines(pages: DataFrame, manifest: DataFrame, *, min_pages: int = 5, min_clusters: int = 5, min_dates: int = 3,
                    min_letter_runs: int = 4, text_col: str = "markdown") -> DataFrame:
     """``doc_id, line_no, platform_slug, n_pages, n_clusters, n_dates`` of the lines that reach all three thresholds on
-    their platform.
+    their platform: pages, clusters of equal pages and dates of publication (the earliest ``last_updated`` that the
+    manifest gives a page of the cluster; clusters without one have no date). With the defaults a line of articles that
+    were republished, or all published on a day or two, isn't one.
 
     Repeated rows of a ``doc_id`` count once, the header and empty lines never; null texts have no lines; pages that no
     manifest row gives a platform form the platform ``unknown``.
     """
     clusters = cut(
-        with_facts(page_lines(pages, min_letter_runs, text_col), manifest)
+        with_facts(page_lines(pages, min_letter_runs, text_col), manifest, dates=True)
         .select("doc_id", "platform_slug", "body", "published", "line_nos", "keys"),
         "pagelines",
     )

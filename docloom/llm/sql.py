@@ -36,6 +36,17 @@ _LINES = (
 )
 
 
+#: Counts of each line over clusters of equal pages and their dates.
+_CLUSTERS = (
+    f"{_LINES}, q AS (SELECT doc_id, platform_slug, rtrim(array_to_string(list_transform(ls, lambda s, i: CASE WHEN trim(s) = '' OR i IN (1, 3, 5) THEN '' ELSE s END), chr(10)), chr(10)) AS body FROM n), "
+    "pub AS (SELECT doc_id, min(TRY_CAST(last_updated AS DATE)) AS published FROM documents_manifest GROUP BY doc_id), "
+    "c AS (SELECT platform_slug, body, count(*) AS n, min(published) AS published, min(doc_id) AS doc_id FROM q LEFT JOIN pub USING (doc_id) GROUP BY platform_slug, body), "
+    "e AS (SELECT DISTINCT c.platform_slug, c.body, c.n, c.published, k.key FROM c JOIN k USING (doc_id)), "
+    "v AS (SELECT platform_slug, key, CAST(sum(n) AS BIGINT) AS n_pages, count(*) AS n_clusters, count(DISTINCT published) AS n_dates FROM e GROUP BY platform_slug, key "
+    "HAVING sum(n) >= 5 AND count(*) >= 5 AND count(DISTINCT published) >= 3)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     shingles = (
         f"w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 1), "
@@ -66,9 +77,19 @@ def oracle_sql() -> dict[str, str]:
         ),
         "p3_found": f"WITH {_COUNTS} SELECT token, mark FROM m WHERE mark IS NOT NULL",
         "p3_counts": f"WITH {_COUNTS} SELECT * FROM m",
+        "p3_stored": (
+            f"WITH {_COUNTS}, b AS (SELECT batch_id, lower(trim(token)) AS token, max(count) AS c, max(document_count) AS d FROM token_frequencies "
+            "WHERE trim(token) <> '' GROUP BY ALL), s AS (SELECT token, CAST(sum(c) AS BIGINT) AS stored_count, CAST(sum(d) AS BIGINT) AS stored_document_count FROM b GROUP BY token) "
+            "SELECT s.*, m.count, m.document_count, m.mark FROM s LEFT JOIN m USING (token)"
+        ),
         "p4_found": f"WITH {_SLICES} SELECT platform_slug, language, doc_type FROM s WHERE tokens >= 0.005 * (SELECT sum(tokens) FROM s)",
         "p4_slices": f"WITH {_SLICES} SELECT * FROM s",
         "p5_found": f"WITH {_LINES} SELECT DISTINCT doc_id, line_no FROM k JOIN r USING (platform_slug, key)",
+        "p5_lines": f"WITH {_CLUSTERS} SELECT DISTINCT k.doc_id, k.line_no, platform_slug, n_pages, n_clusters, n_dates FROM k JOIN v USING (platform_slug, key)",
+        "p5_clean": (
+            f"WITH {_CLUSTERS}, x AS (SELECT doc_id, list(DISTINCT line_no) AS gone FROM k JOIN v USING (platform_slug, key) GROUP BY doc_id) "
+            "SELECT n.doc_id, array_to_string(list_filter(ls, lambda s, i: gone IS NULL OR NOT list_contains(gone, i)), chr(10)) AS markdown FROM n LEFT JOIN x USING (doc_id)"
+        ),
         "p6_found": (
             f"WITH pages AS (SELECT DISTINCT doc_id, markdown FROM extracted_documents), t AS (SELECT doc_id, unnest({TOKENS.format('markdown')}) AS term FROM pages), "
             "c AS (SELECT doc_id, term, count(*) AS c FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS d FROM c GROUP BY term), "

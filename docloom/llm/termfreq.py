@@ -61,25 +61,32 @@ def block_counts(texts: DataFrame, split=tokens) -> DataFrame:
 
 
 def _sum_arrays(batches):
-    """Add up (id, count, document_count) rows into arrays, one pair per identifier range."""
+    """Add up (id, count, document_count) rows, sorted by identifier range, into the arrays of one range at a time."""
     size = 1 << RANGE_BITS
-    ranges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    held = None
+    total = np.zeros(size, dtype=np.int64)
+    present = np.zeros(size, dtype=np.int64)
+
+    def close():
+        low = np.flatnonzero(present)
+        out = [pa.array((np.int64(held) << RANGE_BITS) + low), pa.array(total[low]), pa.array(present[low])]
+        total[low] = 0
+        present[low] = 0
+        return pa.RecordBatch.from_arrays(out, names=["id", "count", "document_count"])
+
     for batch in batches:
         ids, n, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         high = ids >> RANGE_BITS
-        for r in np.unique(high):
-            at = high == r
-            low = ids[at] & (size - 1)
-            if r not in ranges:
-                ranges[r] = (np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64))
-            np.add.at(ranges[r][0], low, n[at])
-            np.add.at(ranges[r][1], low, d[at])
-    for r, (n, d) in ranges.items():
-        low = np.flatnonzero(d)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((np.int64(r) << RANGE_BITS) + low), pa.array(n[low]), pa.array(d[low])],
-            names=["id", "count", "document_count"],
-        )
+        starts = np.flatnonzero(np.diff(high, prepend=high[:1] - 1)) if len(high) else []
+        for start, end in zip(starts, [*starts[1:], len(high)]):
+            if held is not None and held != high[start]:
+                yield close()
+            held = high[start]
+            low = ids[start:end] & (size - 1)
+            np.add.at(total, low, n[start:end])
+            np.add.at(present, low, d[start:end])
+    if held is not None:
+        yield close()
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", split=tokens) -> DataFrame:
@@ -99,10 +106,10 @@ def term_counts(docs: DataFrame, text_col: str = "text", split=tokens) -> DataFr
     schema = "id long, count long, document_count long"
     encoded = blocks.join(dictionary, "token").select("id", "count", "document_count", "block")
     partial = (
-        encoded.repartition(F.shiftright("id", RANGE_BITS), F.col("block") % SALT)
+        encoded.repartition(F.shiftright("id", RANGE_BITS), F.col("block") % SALT).sortWithinPartitions(F.shiftright("id", RANGE_BITS))
         .select("id", "count", "document_count").mapInArrow(_sum_arrays, schema)
     )
-    total = partial.repartition(F.shiftright("id", RANGE_BITS)).mapInArrow(_sum_arrays, schema)
+    total = partial.repartition(F.shiftright("id", RANGE_BITS)).sortWithinPartitions(F.shiftright("id", RANGE_BITS)).mapInArrow(_sum_arrays, schema)
     return dictionary.join(total, "id").select("id", "token", "count", "document_count")
 
 
@@ -117,3 +124,19 @@ def marked_terms(docs: DataFrame, text_col: str = "text", rare_below: int = 3, c
             F.col("document_count") * 10_000 > F.lit(n).cast("long") * share, "common"
         ),
     )
+
+
+def against_stored(terms: DataFrame, stored: DataFrame) -> DataFrame:
+    """``token, stored_count, stored_document_count, count, document_count, mark`` of the tokens an earlier run has stored
+    (batch_id, token, count, document_count): its figures and the true ones of :func:`marked_terms`.
+
+    Spellings of a token are put together, trimmed and in lower case; of the rows of one batch the highest figures count,
+    batches add up. Null and empty tokens are left out; null figures count nothing; tokens no record holds have null for
+    the true figures. Empty tables give no rows.
+    """
+    token = F.lower(F.trim(F.col("token")))
+    batches = stored.select("batch_id", token.alias("token"), "count", "document_count").filter("token is not null and token != ''").groupBy("batch_id", "token").agg(
+        F.max("count").alias("c"), F.max("document_count").alias("d")
+    )
+    sums = batches.groupBy("token").agg(F.sum("c").alias("stored_count"), F.sum("d").alias("stored_document_count"))
+    return sums.join(terms.select("token", "count", "document_count", "mark"), "token", "left")

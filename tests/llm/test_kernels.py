@@ -94,12 +94,25 @@ def test_fit_keeps_to_budget(seed):
     counts = {rng.randint(1, 3000): rng.randint(1, 500) for _ in range(40)}
     available = sum(x * n for x, n in counts.items())
     budget, repeats = rng.randint(1, 3 * available), rng.randint(1, 4)
-    full, extra = mixing.fit(counts, budget, repeats)
+    full, extra, proven = mixing.fit(counts, budget, repeats)
     got = sum(x * (full * n + extra.get(x, 0)) for x, n in counts.items())
     assert full <= repeats and all(n <= counts[x] for x, n in extra.items()) and (full < repeats or not extra)
     assert got <= budget and (got == budget or got == repeats * available)
 
 
+def test_a_fill_that_is_not_the_best_says_so(monkeypatch):
+    assert mixing.fit({6: 100_000, 10: 100_000}, 1_000_001, 3)[2]  # sums are even: one token must stay
+    monkeypatch.setattr(mixing, "KNAPSACK_TOKENS", 16)
+    monkeypatch.setattr(mixing, "WIDEST_TOKENS", 64)
+    full, extra, proven = mixing.fit({50: 3, 70: 2, 1000: 1}, 199, 1)
+    best = max(50 * a + 70 * b for a in range(4) for b in range(3) if 50 * a + 70 * b <= 199)
+    got = sum(x * n for x, n in extra.items())
+    assert full == 0 and got <= 199 and (proven is False or got == best)
+    monkeypatch.setattr(mixing, "WIDEST_TOKENS", 1024)
+    _, extra, proven = mixing.fit({50: 3, 70: 2, 1000: 1}, 199, 1)
+    assert proven and sum(x * n for x, n in extra.items()) == best
+
+
 MARKED = [
     "a <b>b</b>", "</FONT> x", "x<br/>", "a &amp; b", "a ''b'' c", "[[Page|text]]", "{{as of|x|2}}", "== Head ==", "<ref>x</ref>",
     "{| class=x", r"\textbf{a}", r"{\it a}", r"5\,\%", "``a''", r"\begin{itemize}", "a **b** c", "a __b c__ d", "*a b* c", "_a_ b", "~~a~~",

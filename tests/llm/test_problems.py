@@ -69,8 +69,8 @@ def test_pages_that_are_awkward(spark):
     assert got == {
         ("acme", "de", "privacy_policy"): (1, size["a"]), ("acme", "de", "unknown"): (1, size["e"]), ("unknown", "unknown", "unknown"): (3, size["d"]),
     }
-    lines = sitelines.repeated_lines(p, m, min_pages=2)
-    assert {(r.doc_id, r.line_no, r.n_pages, r.n_clusters, r.n_dates) for r in lines.collect()} == {("a", 8, 2, 2, 1), ("e", 8, 2, 2, 1)}
+    lines = sitelines.repeated_lines(p, m, min_pages=2, min_clusters=1, min_dates=0)
+    assert {(r.doc_id, r.line_no, r.n_pages, r.n_clusters, r.n_dates) for r in lines.collect()} == {("a", 8, 2, 2, 0), ("e", 8, 2, 2, 0)}
     clean = {r.doc_id: r.markdown for r in sitelines.without_lines(p, lines).collect()}
     assert "four words" not in clean["a"] and clean["c"] == "" and clean["b"] is None
     scores = distinctive.term_scores(p)
@@ -126,6 +126,19 @@ def test_elements_of_a_large_site_add_up(spark):
     assert [(r.support, r.optional, r.chrome) for r in boilerplate.wrappers(p, m).collect() if "nook" in r.element] == [(9, True, True)]
 
 
+def test_republished_pages_are_no_site_lines(spark):
+    again = text_page("A story told once by one writer.", "It goes on for some lines more.")
+    rows = [(f"r{i}", again) for i in range(9)] + [(f"n{i}", text_page("All rights are kept by us.", f"Story number {'x' * i} has words of its own.")) for i in range(6)]
+    days = [(k, "acme", "en", "t", None, f"2020-01-0{1 + i % 8}" if i % 4 else "not_found") for i, (k, _) in enumerate(rows)]
+    p, m = pages(spark, rows), spark.createDataFrame(days, MANIFEST + ", last_updated string")
+    strict = {(r.doc_id, r.line_no, r.n_pages, r.n_clusters, r.n_dates) for r in sitelines.repeated_lines(p, m).collect()}
+    assert strict == {(f"n{i}", 7, 6, 6, 5) for i in range(6)}
+    loose = {(r.doc_id, r.line_no) for r in sitelines.repeated_lines(p, m, min_clusters=1, min_dates=0).collect()}
+    assert loose == {(f"n{i}", 7) for i in range(6)} | {(f"r{i}", n) for i in range(9) for n in (7, 8)}
+    same_day = spark.createDataFrame([(*d[:5], "2020-02-02") for d in days], MANIFEST + ", last_updated string")
+    assert sitelines.repeated_lines(p, same_day).count() == 0
+
+
 def test_empty_tables(spark):
     p, m = pages(spark, []), manifest(spark, [])
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
@@ -206,6 +219,9 @@ def test_term_counts(spark):
         want_n.update(found)
         want_d.update(set(found))
     rows = termfreq.term_counts(d).collect()
+    old = spark.createDataFrame([(1, "W1", 5, 2), (1, " w1", 4, 3), (2, "w1", None, 1), (None, "w1", 1, 1), (1, None, 1, 1), (1, "gone", 1, 1)], "batch_id long, token string, count long, document_count long")
+    stored = {r.token: tuple(r)[1:5] for r in termfreq.against_stored(termfreq.marked_terms(d), old).collect()}
+    assert stored == {"w1": (6, 5, want_n["w1"], want_d["w1"]), "gone": (1, 1, None, None)}
     assert {r.token: r["count"] for r in rows} == want_n and {r.token: r.document_count for r in rows} == want_d
     assert len({r.id for r in rows}) == len(rows)
 
@@ -238,6 +254,7 @@ def test_mix(spark):
     rows = {r.source: r for r in sources.collect()}
     total = sum(r.tokens for r in sized.collect())
     assert rows["b"].short and rows["none"].short and not rows["a"].short
+    assert rows["a"].gap_tokens == 0 and rows["a"].exact and rows["b"].gap_tokens is None and rows["a"].unmixed_tokens == 10
     assert rows["a"].mixed_tokens == int(0.3 * total) and rows["b"].mixed_tokens == rows["b"].tokens
     chosen = mixing.select(sized, picks).collect()
     assert sum(r.tokens * r.copies for r in chosen if r.source == "a") == rows["a"].mixed_tokens
