@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from docloom.functions.text import lines, strip, word_count
 from docloom.rx import LINE_BREAK, WS, WS_INLINE
+from docloom.shared import exploded
 
 _HEAD = f"{WS_INLINE}{{0,3}}#{{1,6}}{WS_INLINE}+[^\\n]"
 
@@ -50,26 +51,28 @@ def line_parts(text: Column) -> Column:
     return F.filter(F.transform(lines(plain), strip), lambda x: x != "")
 
 
-def clean_text(docs: DataFrame, max_repeats: int = 3) -> DataFrame:
-    """``doc_id, clean_text``: cleaned lines, of which one that stands more than ``max_repeats`` times keeps its first.
+def _often(parts: Column, max_repeats: int) -> Column:
+    """The lines that stand more than ``max_repeats`` times: in the sorted array, those equal to the one so many further on."""
+    ordered = F.array_sort(parts)
+    later = F.slice(ordered, F.lit(max_repeats + 1), F.greatest(F.size(parts) - max_repeats, F.lit(0)))
+    return F.array_distinct(F.filter(F.zip_with(ordered, later, lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()))
 
-    Only documents that can hold such a line are taken apart; the others stay one expression per row.
-    """
+
+def with_repeats(docs: DataFrame, max_repeats: int) -> DataFrame:
+    """``doc_id, parts, often``: the lines of each text and those that stand too often; nothing leaves its row."""
     parts = docs.select("doc_id", line_parts(F.coalesce("text", F.lit(""))).alias("parts"))
     many = F.size("parts") - F.size(F.array_distinct("parts")) >= max_repeats
-    plain = parts.filter(~many).select("doc_id", F.array_join("parts", "\n").alias("clean_text"))
-    apart = parts.filter(many).select("doc_id", F.posexplode("parts").alias("pos", "line"))
-    same = Window.partitionBy("doc_id", "line")
-    kept = apart.withColumns(
-        {"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("pos"))}
-    ).filter((F.col("n") <= max_repeats) | (F.col("nth") == 1))
-    joined = kept.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("clean_text")
-    )
-    return plain.unionByName(joined)
+    return parts.withColumn("often", F.when(many, _often(F.col("parts"), max_repeats)).otherwise(F.array().cast("array<string>")))
+
+
+def clean_text(docs: DataFrame, max_repeats: int = 3) -> DataFrame:
+    """``doc_id, clean_text``: cleaned lines, of which one that stands more than ``max_repeats`` times keeps its first."""
+    first = F.filter("parts", lambda x, i: ~F.array_contains("often", x) | (F.array_position("parts", x) == i + 1))
+    kept = F.when(F.size("often") == 0, F.col("parts")).otherwise(first)
+    return with_repeats(docs, max_repeats).select("doc_id", F.array_join(kept, "\n").alias("clean_text"))
 
 
 def repeated_lines(docs: DataFrame, max_repeats: int = 3) -> DataFrame:
     """``doc_id, line, n`` of the lines that stand more than ``max_repeats`` times in a document."""
-    rows = docs.select("doc_id", F.explode(line_parts(F.coalesce("text", F.lit("")))).alias("line"))
-    return rows.groupBy("doc_id", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_repeats)
+    rows = exploded(with_repeats(docs, max_repeats), ["doc_id", "parts"], "often", "line")
+    return rows.select("doc_id", "line", F.size(F.filter("parts", lambda x: x == F.col("line"))).cast("long").alias("n"))

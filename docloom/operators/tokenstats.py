@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docloom.functions.text import kept_tokens, tokens
-from docloom.shared import cut, small_side
+from docloom.shared import cut, exploded, small_side
 
 
 def with_tokens(docs: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def _occurrences(arrays: DataFrame, array: str | Column, name: str) -> DataFrame
     a = F.col(array) if isinstance(array, str) else array
     each = F.transform(a, lambda t: F.struct(t.alias(name), F.lit(1).alias("c"), F.lit(0).alias("d")))
     once = F.transform(F.array_distinct(a), lambda t: F.struct(t.alias(name), F.lit(0).alias("c"), F.lit(1).alias("d")))
-    return arrays.select(F.explode(F.concat(each, once)).alias("o")).select("o.*")
+    return exploded(arrays, [], F.concat(each, once), "o").select("o.*")
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def top_by_count(counts: DataFrame, key: str, limit: int, rows: DataFrame) -> Da
 
 def top_tokens(docs: DataFrame, limit: int = 5000) -> DataFrame:
     """``token, count, document_count`` of the most frequent tokens, ties for the last places by first seen."""
-    rows = with_tokens(docs).select("path", F.posexplode("tokens").alias("pos", "token"))
+    rows = exploded(with_tokens(docs), ["path"], "tokens", "token", "pos")
     return top_by_count(token_counts(docs), "token", limit, rows).orderBy(F.desc("count"), "token")
 
 
@@ -71,13 +71,13 @@ def grams_of(array: str, n: int) -> Column:
 
 
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
-    grams = with_tokens(docs).select(F.explode(grams_of("tokens", n)).alias("ngram"))
+    grams = exploded(with_tokens(docs), [], grams_of("tokens", n), "ngram")
     return grams.groupBy("ngram").agg(F.count("*").alias("count"))
 
 
 def top_ngrams(docs: DataFrame, n: int, limit: int = 500) -> DataFrame:
     """``ngram, n, count`` of the most frequent n-grams of kept tokens, ties for the last places by first seen."""
-    rows = with_tokens(docs).select("path", F.posexplode(grams_of("tokens", n)).alias("pos", "ngram"))
+    rows = exploded(with_tokens(docs), ["path"], grams_of("tokens", n), "ngram", "pos")
     return top_by_count(ngram_counts(docs, n), "ngram", limit, rows).select("ngram", F.lit(n).cast("long").alias("n"), "count")
 
 
@@ -85,7 +85,7 @@ def plain_ngrams(docs: DataFrame, stopwords, n: int) -> DataFrame:
     """``ngram, count`` over tokens that are no stop word and longer than two characters."""
     kept = F.filter(tokens(F.coalesce("text", F.lit(""))), lambda t: (F.length(t) > 2) & ~t.isin(*stopwords))
     return (
-        docs.select(kept.alias("t")).select(F.explode(grams_of("t", n)).alias("ngram")).groupBy("ngram")
+        exploded(docs.select(kept.alias("t")), [], grams_of("t", n), "ngram").groupBy("ngram")
         .agg(F.count("*").alias("count"))
     )
 
@@ -112,23 +112,21 @@ def tfidf(docs: DataFrame, features: int = 5000, min_df: int = 2, max_df: float
     """``doc_id, term, tfidf``: raw term counts times ln((1 + N) / (1 + df)) + 1 over 1- and 2-grams, rows of length 1.
 
     Kept tokens are split at hyphens again. Terms of at least ``min_df`` and at most ``max_df`` * N records, of those the
-    ``features`` most frequent (ties by term). Documents left without a term give no rows.
+    ``features`` most frequent (ties by term). Documents left without a term give no rows. Texts are taken apart once: they
+    are placed by document first, so counting the terms of each moves nothing more; all else comes from these counts.
     """
     n = docs.count()
     words = F.regexp_extract_all(F.array_join(kept_tokens(F.coalesce("text", F.lit(""))), " "), F.lit(r"([^\s-]+)"), F.lit(1))
-    terms = docs.select("doc_id", words.alias("w")).select("doc_id", F.concat("w", grams_of("w", 2)).alias("terms"))
+    terms = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", words.alias("w")).select("doc_id", F.concat("w", grams_of("w", 2)).alias("terms"))
+    counted = cut(exploded(terms, ["doc_id"], "terms", "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "counted")
     vocabulary = cut(
-        _occurrences(terms, "terms", "term").groupBy("term").agg(F.sum("c").alias("total"), F.sum("d").alias("df"))
+        counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
         .orderBy(F.desc("total"), "term").limit(features)
         .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")),
         "vocabulary",
     )
-    weighted = cut(
-        terms.select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(vocabulary), "term")
-        .groupBy("doc_id", "term", "idf").agg(F.count("*").alias("tf")).select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w")),
-        "weighted",
-    )
+    weighted = counted.join(F.broadcast(vocabulary), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("tfidf"))
 

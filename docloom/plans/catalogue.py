@@ -14,7 +14,7 @@ from docloom.functions.similarity import simhash_udf
 from docloom.functions.terms import evidence_phrase, hit_array
 from docloom.operators import dedup, features, index, quality, segments, selection, tokenstats
 from docloom.plans import oracle as O
-from docloom.shared import spread
+from docloom.shared import exploded, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -202,7 +202,7 @@ def corpus_summary(spark, d):
 def _terms(spark, d, prefilter: bool):
     hits = hit_array(F.col("text"), TERMS, prefilter)
     pairs = F.arrays_zip(F.lit(TERMS).alias("term"), hits.alias("n"))
-    rows = _docs(spark, d).select("doc_id", F.explode(pairs).alias("t"))
+    rows = exploded(_docs(spark, d), ["doc_id"], pairs, "t")
     return rows.select("doc_id", F.col("t.term").alias("term"), F.col("t.n").alias("n")).filter("n > 0")
 
 

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side with a few fixed-width columns may be broadcast (about 64 MB as a hash relation).
@@ -78,6 +78,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def exploded(df: DataFrame, keep: list[str], array: Column | str, name: str, pos: str | None = None) -> DataFrame:
+    """``keep`` and a row per element of an array, with its place as ``pos``; null elements are dropped.
+
+    The explode is an outer one: before a plain one the optimizer filters on the array's size and computes the array
+    again for it, which costs several times the explode where the array comes from a pattern.
+    """
+    values = F.explode_outer(array).alias(name) if pos is None else F.posexplode_outer(array).alias(pos, name)
+    return df.select(*keep, values).filter(F.col(name).isNotNull())
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a cut table for broadcast if its counted rows are few; else leave the shuffle join to Spark."""
     return F.broadcast(df) if df.count() <= rows else df
