@@ -1,4 +1,4 @@
-"""Command line: ``python -m docloom corpus|duplicates|tokens ...``."""
+"""Command line: ``python -m docloom corpus|duplicates|convert|tokens ...``."""
 
 from __future__ import annotations
 
@@ -23,12 +23,17 @@ def main(argv: list[str] | None = None) -> int:
     corpus.add_argument("--candidate-limit", type=int, default=60)
     corpus.add_argument("--max-tfidf-features", type=int, default=5000)
     corpus.add_argument("--expected-document-count", type=int, default=1059)
+    corpus.add_argument("--dictionary", help="CSV of the terms: group,ord,term; without it the engine's small test dictionary")
+    corpus.add_argument("--csv", action="store_true", help="write the tables as CSV too")
     dup = sub.add_parser("duplicates", help="report duplicate files; deletes nothing")
     dup.add_argument("--input-dir", required=True)
     dup.add_argument("--out-dir", required=True)
     dup.add_argument("--threshold", type=float, default=0.90)
     dup.add_argument("--prefilter", action="store_true")
     dup.add_argument("--simhash-max-distance", type=int, default=24)
+    convert = sub.add_parser("convert", help="PDF and DOCX files of a folder to Markdown")
+    convert.add_argument("--input-dir", required=True)
+    convert.add_argument("--out-dir", required=True)
     budget = sub.add_parser("tokens", help="estimated tokens of a folder against a threshold")
     budget.add_argument("directory")
     budget.add_argument("-t", "--threshold", type=int, default=32_000)
@@ -37,7 +42,13 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("docloom").getOrCreate()
     if args.command == "corpus":
         config = CorpusConfig(candidate_limit=args.candidate_limit, tfidf_features=args.max_tfidf_features, expected_documents=args.expected_document_count)
-        print(pipeline.run_corpus(spark, args.input_dir, args.out_dir, args.old_index, config=config, hidden=True))
+        groups = None
+        if args.dictionary:
+            terms = S.read_csv(spark, args.dictionary, ["group", "ord", "term"]).withColumn("ord", F.col("ord").try_cast("int")).filter("term != ''")
+            groups = pipeline.read_dictionary(terms)
+        print(pipeline.run_corpus(spark, args.input_dir, args.out_dir, args.old_index, groups, config, hidden=True, csv=args.csv))
+    elif args.command == "convert":
+        pipeline.run_conversion(spark, args.input_dir, args.out_dir).orderBy("path").show(1000, False)
     elif args.command == "duplicates":
         config = DuplicateConfig(args.threshold, args.simhash_max_distance, args.prefilter)
         print(pipeline.run_duplicates(spark, args.input_dir, args.out_dir, config))

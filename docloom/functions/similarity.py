@@ -6,11 +6,25 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, LongType
 
 _WORDS = re.compile(r"\S+")
+#: Entries a worker keeps of its word -> hash cache before it starts anew.
+CACHE_WORDS = 400_000
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = hashlib.blake2b(word.encode("utf-8", "ignore"), digest_size=8).digest()
+        return value
+
+
+_HASHES = _WordHashes()
 
 
 def lcs_length(a: str, b: str, least: int = 0) -> int:
@@ -63,13 +77,12 @@ def indel_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
 
 def simhash64(text: str) -> int:
     """64-bit SimHash of the case-folded words as a signed long; a bit with as many votes for as against it is set."""
-    votes = [0] * 64
-    for word in _WORDS.findall(text.casefold()):
-        value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "ignore"), digest_size=8).digest(), "little")
-        for bit in range(64):
-            votes[bit] += 1 if value >> bit & 1 else -1
-    out = sum(1 << bit for bit in range(64) if votes[bit] >= 0)
-    return out - (1 << 64) if out >> 63 else out
+    hashes = b"".join(map(_HASHES.__getitem__, _WORDS.findall(text.casefold())))
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 8 << 16):
+        bits = np.unpackbits(np.frombuffer(hashes[at : at + (8 << 16)], dtype=np.uint8), bitorder="little").reshape(-1, 64)
+        votes += 2 * bits.sum(axis=0, dtype=np.int64) - len(bits)
+    return int(np.packbits(votes >= 0, bitorder="little").view(np.int64)[0])
 
 
 def indel_ratio_udf(cutoff: float):
@@ -82,4 +95,4 @@ def indel_ratio_udf(cutoff: float):
 
 @pandas_udf(LongType())
 def simhash_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([simhash64(t) for t in text], dtype="int64")
+    return pd.Series([None if t is None else simhash64(t) for t in text], dtype="Int64")

@@ -6,21 +6,31 @@ only representatives of distinct contents are paired, on ids; texts are joined t
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docloom.functions.similarity import indel_ratio_udf, simhash_udf
+from docloom.functions.similarity import indel_ratio, indel_ratio_udf, simhash_udf
 from docloom.shared import cut
 
+#: Representatives of one size that are paired in one group.
+PART = 500
+
 
 def order_key(path: str = "path") -> Column:
     return F.struct(F.lower(path).alias("low"), F.col(path).alias("path"))
 
 
-def file_facts(files: DataFrame) -> DataFrame:
-    """Path, size and hash of each file as a table of its own, so that texts are hashed once."""
-    return cut(files.select("path", "size", "sha256"), "files")
+def file_facts(files: DataFrame, simhash: bool = False) -> DataFrame:
+    """Path, size and hash of each file as a table of its own, with its length, the counts of a few characters and, if
+    asked for, its SimHash: what pairs are judged by before texts travel. Texts are read for this once."""
+    known = [c for c in ("len", "chars", "simhash") if c in files.columns]
+    if "text" not in files.columns:
+        return files.select("path", "size", "sha256", *known)
+    text = F.col("text")
+    more = [simhash_udf("text").alias("simhash")] if simhash else []
+    return cut(files.select("path", "size", "sha256", F.length(text).alias("len"), _letters(text).alias("chars"), *more), "files")
 
 
 def size_groups(files: DataFrame) -> DataFrame:
@@ -29,11 +39,14 @@ def size_groups(files: DataFrame) -> DataFrame:
 
 
 def representatives(files: DataFrame) -> DataFrame:
-    """``size, sha256, rep, n``: first path of every content whose size is shared, and the number of its files."""
+    """``size, sha256, rep, n``: first path of every content whose size is shared, and the number of its files; what
+    :func:`file_facts` knows of the content comes along."""
     shared = size_groups(files).select("size")
+    known = [c for c in ("len", "chars", "simhash") if c in files.columns]
     return (
         files.join(shared, "size", "left_semi").groupBy("size", "sha256")
-        .agg(F.min(order_key()).alias("k"), F.count("*").alias("n")).select("size", "sha256", F.col("k.path").alias("rep"), "n")
+        .agg(F.min(order_key()).alias("k"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in known))
+        .select("size", "sha256", F.col("k.path").alias("rep"), "n", *known)
     )
 
 
@@ -45,12 +58,26 @@ def exact_duplicates(files: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(reps: DataFrame) -> DataFrame:
+    """``size, l, r``: every two representatives of a size as structs, the first in order as ``l``. A size of more than
+    PART of them is cut into parts, and every two parts meet in a group of their own, so no task holds a whole size."""
+    known = [c for c in ("len", "chars", "simhash") if c in reps.columns]
+    sizes = reps.groupBy("size").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("reps")).filter("reps > 1")
+    placed = (
+        reps.select("size", F.struct(order_key("rep").alias("k"), *known).alias("v")).join(sizes.select("size", "parts"), "size")
+        .withColumn("part", F.pmod(F.xxhash64("v.k.path"), "parts").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("size", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "v")
+    )
+    one = placed.filter("part = x").select("size", "x", "y", F.col("v").alias("a"))
+    two = placed.filter("part = y").select("size", "x", "y", F.col("v").alias("b"))
+    return one.join(two, ["size", "x", "y"]).filter("x < y or a.k < b.k").select("size", F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"))
+
+
 def candidate_pairs(files: DataFrame) -> DataFrame:
     """``left_path, right_path, size`` of representatives of equal size, left before right."""
-    reps = representatives(files).select("size", "rep", order_key("rep").alias("k"))
-    left = reps.select("size", F.col("rep").alias("left_path"), F.col("k").alias("lk"))
-    right = reps.select("size", F.col("rep").alias("right_path"), F.col("k").alias("rk"))
-    return left.join(right, "size").filter("lk < rk").select("left_path", "right_path", "size")
+    reps = representatives(files).select("size", "rep")
+    return _pairs(reps).select(F.col("l.k.path").alias("left_path"), F.col("r.k.path").alias("right_path"), "size")
 
 
 def _letters(c: Column) -> Column:
@@ -58,48 +85,71 @@ def _letters(c: Column) -> Column:
     return F.array(*(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in " eationrsudlcmpgh"))
 
 
-def fuzzy_pairs(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
-    """``left_path, right_path, size, ratio`` of the candidate pairs above ``threshold`` (strict).
+def possible_pairs(facts: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
+    """``left_path, right_path, size`` of the candidate pairs whose lengths and character counts don't rule a ratio above
+    ``threshold`` out, which loses none. ``max_distance`` adds the lossy SimHash filter. No text is read."""
+    pairs = _pairs(representatives(facts))
+    common = F.aggregate(F.zip_with("l.chars", "r.chars", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    others = F.least(*(F.col(f"{side}.len") - F.aggregate(f"{side}.chars", F.lit(0), lambda s, x: s + x) for side in "lr"))
+    possible = pairs.filter(2 * (common + others) > threshold * (F.col("l.len") + F.col("r.len")))
+    if max_distance is not None:
+        possible = possible.filter(F.bit_count(F.col("l.simhash").bitwiseXOR(F.col("r.simhash"))) <= max_distance)
+    return possible.select(F.col("l.k.path").alias("left_path"), F.col("r.k.path").alias("right_path"), "size")
 
-    Pairs whose character counts rule the ratio out are dropped first, which loses none; only then do texts travel.
-    ``max_distance`` adds the lossy SimHash filter.
-    """
-    facts = files.select("path", F.length("text").alias("len"), _letters(F.col("text")).alias("chars"))
-    left = facts.select(*(F.col(c).alias(f"l_{c}") for c in facts.columns))
-    right = facts.select(*(F.col(c).alias(f"r_{c}") for c in facts.columns))
-    both = candidate_pairs(file_facts(files)).join(left, F.col("left_path") == F.col("l_path")).join(right, F.col("right_path") == F.col("r_path"))
-    common = F.aggregate(F.zip_with("l_chars", "r_chars", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    others = F.least(
-        F.col("l_len") - F.aggregate("l_chars", F.lit(0), lambda s, x: s + x),
-        F.col("r_len") - F.aggregate("r_chars", F.lit(0), lambda s, x: s + x),
-    )
+
+def _with_texts(pairs: DataFrame, files: DataFrame) -> DataFrame:
     texts = files.select("path", "text")
-    pairs = (
-        both.filter(2 * (common + others) > threshold * (F.col("l_len") + F.col("r_len"))).select("left_path", "right_path", "size")
-        .join(texts.withColumnsRenamed({"path": "left_path", "text": "l_text"}), "left_path")
-        .join(texts.withColumnsRenamed({"path": "right_path", "text": "r_text"}), "right_path")
+    return pairs.join(texts.withColumnsRenamed({"path": "left_path", "text": "l_text"}), "left_path").join(
+        texts.withColumnsRenamed({"path": "right_path", "text": "r_text"}), "right_path"
     )
-    if max_distance is not None:
-        pairs = pairs.withColumns({"l_h": simhash_udf("l_text"), "r_h": simhash_udf("r_text")}).filter(
-            F.bit_count(F.col("l_h").bitwiseXOR(F.col("r_h"))) <= max_distance
-        )
-    return pairs.withColumn("ratio", indel_ratio_udf(threshold)("l_text", "r_text")).filter(F.col("ratio") > threshold).select(
+
+
+def fuzzy_pairs(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
+    """``left_path, right_path, size, ratio`` of the candidate pairs above ``threshold`` (strict); texts travel last."""
+    pairs = possible_pairs(file_facts(files, max_distance is not None), threshold, max_distance)
+    return _with_texts(pairs, files).withColumn("ratio", indel_ratio_udf(threshold)("l_text", "r_text")).filter(F.col("ratio") > threshold).select(
         "left_path", "right_path", "size", "ratio"
     )
 
 
+def first_matches(pairs: DataFrame, files: DataFrame, threshold: float) -> DataFrame:
+    """``right_path, left_path, size, ratio``: of each right file the first left one above ``threshold``; what comes after
+    it isn't compared."""
+
+    def compare(batches):
+        matched = None
+        for batch in batches:
+            rows = ([], [], [], [])
+            for right, left, size, a, b in zip(*(batch.column(i) for i in range(5))):
+                right = right.as_py()
+                if right == matched:
+                    continue
+                ratio = indel_ratio(a.as_py(), b.as_py(), threshold)
+                if ratio > threshold:
+                    matched = right
+                    for column, value in zip(rows, (right, left.as_py(), size.as_py(), ratio)):
+                        column.append(value)
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["right_path", "left_path", "size", "ratio"])
+
+    ordered = _with_texts(pairs, files).repartition("right_path").sortWithinPartitions("right_path", order_key("left_path"))
+    return ordered.select("right_path", "left_path", F.col("size").cast("long"), "l_text", "r_text").mapInArrow(
+        compare, "right_path string, left_path string, size long, ratio double"
+    )
+
+
 def duplicates(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
     """``deleted_file, original_file, size, similarity, method`` and the first lines of both.
 
     A copy goes with its representative, a representative with the first earlier one above the threshold. A kept file
     may itself be reported; there is no closure.
     """
-    fuzzy = fuzzy_pairs(files, threshold, max_distance)
-    best = fuzzy.groupBy("right_path", "size").agg(F.min_by(F.struct("left_path", "ratio"), order_key("left_path")).alias("b")).select(
-        F.col("right_path").alias("deleted_file"), F.col("b.left_path").alias("original_file"), "size",
-        F.col("b.ratio").alias("similarity"), F.lit("fuzzy ratio").alias("method"),
+    facts = file_facts(files, max_distance is not None)
+    best = first_matches(possible_pairs(facts, threshold, max_distance), files, threshold).select(
+        F.col("right_path").alias("deleted_file"), F.col("left_path").alias("original_file"), "size",
+        F.col("ratio").alias("similarity"), F.lit("fuzzy ratio").alias("method"),
     )
-    exact = exact_duplicates(file_facts(files)).withColumns({"similarity": F.lit(1.0), "method": F.lit("SHA-256 exact match")})
+    exact = exact_duplicates(facts).withColumns({"similarity": F.lit(1.0), "method": F.lit("SHA-256 exact match")})
     heads = files.select("path", "first_line")
     return (
         exact.unionByName(best)
@@ -109,6 +159,16 @@ def duplicates(files: DataFrame, threshold: float = 0.9, max_distance: int | Non
     )
 
 
+def run_counts(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
+    """``suspicious_files, pairs_planned, pairs_compared``: files whose size is shared, pairs of representatives, and those
+    that the filters before the comparison leave."""
+    facts = file_facts(files, max_distance is not None)
+    suspicious = size_groups(facts).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("suspicious_files"))
+    planned = candidate_pairs(facts).agg(F.count("*").alias("pairs_planned"))
+    left = possible_pairs(facts, threshold, max_distance).agg(F.count("*").alias("pairs_compared"))
+    return suspicious.join(F.broadcast(planned)).join(F.broadcast(left))
+
+
 def kept_files(files: DataFrame, removed: DataFrame, protected: tuple[str, ...] = ("clean.md",)) -> DataFrame:
     """The files that no record removes; protected names always stay. Nothing is deleted."""
     gone = removed.select(F.col("deleted_file").alias("path")).filter(

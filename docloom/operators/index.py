@@ -39,6 +39,21 @@ def match_index(files: DataFrame, old: DataFrame) -> DataFrame:
     )
 
 
+def diagnostics(matched: DataFrame, old: DataFrame, ids: DataFrame) -> DataFrame:
+    """``name, n``: totals of an index: files, rows and different names of the older index, matches by name, files without
+    any, stems that several files share, and the files of each status as ``status:...``. Each side is one aggregate."""
+    unmatched = F.col("source_match_status") == "unmatched_in_old_index"
+    of_files = matched.agg(F.count("*").alias("total_files"), F.count_if(~unmatched).alias("old_index_name_matches"), F.count_if(unmatched).alias("unmatched_in_old_index"))
+    of_old = old_index_names(old).agg(F.count("*").alias("old_index_rows"), F.count_distinct("name").alias("old_index_unique_names"))
+    stems = ids.groupBy("original_doc_id").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("duplicate_stems"))
+
+    def tall(df: DataFrame) -> DataFrame:
+        return df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in df.columns))).alias("x")).select("x.*")
+
+    status = matched.groupBy(F.concat(F.lit("status:"), "source_match_status").alias("name")).agg(F.count("*").alias("n"))
+    return tall(of_files).unionByName(tall(of_old)).unionByName(tall(stems)).unionByName(status)
+
+
 def index_rows(files: DataFrame, matched: DataFrame, ids: DataFrame) -> DataFrame:
     """The index table: one row per file with everything that its name, text and match tell."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -37,8 +37,8 @@ def checks(index: DataFrame, orphans: int, expected: int = 1059) -> DataFrame:
     return facts.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
-def output_checks(spark, paths: dict[str, str]) -> DataFrame:
-    """``check_name, status, detail`` of written tables: a missing one fails, an empty one warns."""
+def output_checks(spark, paths: dict[str, str], code_modified: float = 0.0) -> DataFrame:
+    """``check_name, status, detail`` of written tables: a missing one fails, an empty one or one older than the code warns."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for name, place in paths.items():
@@ -46,6 +46,8 @@ def output_checks(spark, paths: dict[str, str]) -> DataFrame:
         there = path.getFileSystem(conf).exists(path)
         out.append((f"output_exists:{name}", "pass" if there else "fail", place))
         if there:
+            stale = path.getFileSystem(conf).getFileStatus(path).getModificationTime() < 1000 * code_modified
+            out.append((f"output_fresh:{name}", "warn" if stale else "pass", f"stale={stale}"))
             n = spark.read.parquet(place).count()
             out.append((f"rows:{name}", "pass" if n else "warn", f"record_count={n}"))
     return spark.createDataFrame(out, "check_name string, status string, detail string")
@@ -65,7 +67,8 @@ def summary(docs: DataFrame) -> DataFrame:
 
 def token_budget(docs: DataFrame, limit: int = 32_000, tokenizer: str | None = None) -> DataFrame:
     """``characters, files, tokens, exceeds``: tokens are estimated on the total, or with a vocabulary file counted exactly
-    per file and added up; no files give no row."""
+    per file and added up; no files give no row. Tokens that would span two files, were they run together, aren't looked
+    for: one text of all files has no place on a cluster."""
     from docloom.functions.text import estimated_tokens
     from docloom.functions.tokenizer import token_count
 

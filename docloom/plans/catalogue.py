@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 CFG = CorpusConfig()
-#: A vocabulary file of a public tokenizer, for counts that aren't estimates.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A vocabulary file of a public tokenizer, for counts that aren't estimates; the environment may name another.
+TOKENIZER = os.environ.get("DOCLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 TERMS = features.distinct_terms(TEST_DICTIONARY)
 
 
@@ -156,6 +157,21 @@ def repeated_lines(spark, d):
     return segments.repeated_lines(_docs(spark, d))
 
 
+def _fourfold(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with every text four times over, so that each of its lines stands too often."""
+    return _docs(spark, d).withColumn("text", F.concat_ws("\n", *[F.col("text")] * 4))
+
+
+@query(O.fourfold(O.CLEAN_TEXT))
+def clean_text_repeated(spark, d):
+    return segments.clean_text(_fourfold(spark, d))
+
+
+@query(O.fourfold(O.REPEATED_LINES))
+def repeated_lines_fourfold(spark, d):
+    return segments.repeated_lines(_fourfold(spark, d))
+
+
 @query(O.FIRST_LINE)
 def first_line(spark, d):
     return _docs(spark, d).select("doc_id", T.first_line(F.col("text")).alias("first_line"))
@@ -306,10 +322,13 @@ def kept_documents(spark, d):
 
 @query(O.RUN_COUNTS)
 def dedup_run_counts(spark, d):
-    files = dedup.file_facts(_files(spark, d))
-    planned = dedup.candidate_pairs(files).agg(F.count("*").alias("pairs_planned"))
-    suspicious = dedup.size_groups(files).agg(F.sum("files").alias("suspicious_files"))
-    return suspicious.join(F.broadcast(planned))
+    return dedup.run_counts(_files(spark, d)).drop("pairs_compared")
+
+
+@query()
+def dedup_pairs_compared(spark, d):
+    """Files and pairs of a run, with the pairs that are left after the filters."""
+    return dedup.run_counts(_files(spark, d), max_distance=24)
 
 
 @query()
@@ -345,30 +364,31 @@ def simhash_distance(spark, d):
 # ---- index ----
 
 
-@query(O.INDEX_MATCH)
-def index_match(spark, d):
-    files = spark.createDataFrame(list(O.INDEX_FILES), "path string, sha256 string, size long")
-    old = spark.createDataFrame(
-        list(O.OLD_INDEX), "file_group string, copied_relative_path string, source_relative_path string, source_sha256 string, source_size_bytes string"
-    )
-    return index.match_index(files, old)
-
-
-@query(O.INDEX_MATCH_FILES)
-def index_match_files(spark, d):
-    """The corpus against the table of scanned files as the older index, superseded scans and all."""
-    old = spark.read.parquet(f"{d}/file_meta.parquet").select(
+def _old_index(spark: SparkSession, d: str) -> DataFrame:
+    """The table of scanned files as an older index, superseded scans and all."""
+    return spark.read.parquet(f"{d}/file_meta.parquet").select(
         F.lit("md").alias("file_group"), F.concat(F.lit("copy/"), "path").alias("copied_relative_path"),
         F.concat(F.lit("source/"), "path", F.lit("@"), F.substring("sha256", 1, 8)).alias("source_relative_path"),
         F.col("sha256").alias("source_sha256"), F.col("size").cast("string").alias("source_size_bytes"),
     )
-    return index.match_index(_files(spark, d).select("path", "sha256", "size"), old)
+
+
+@query(O.INDEX_MATCH_FILES)
+def index_match(spark, d):
+    """The corpus against the older index."""
+    return index.match_index(_files(spark, d).select("path", "sha256", "size"), _old_index(spark, d))
+
+
+@query(O.INDEX_TOTALS)
+def index_totals(spark, d):
+    ids = dedup.unique_ids(_docs(spark, d).select("path"))
+    return index.diagnostics(index_match(spark, d), _old_index(spark, d), ids)
 
 
 @query(O.INDEX_DIAGNOSTICS)
 def index_diagnostics(spark, d):
     """How many files the older index knows, by status."""
-    return index_match_files(spark, d).groupBy("source_match_status").agg(F.count("*").alias("files"))
+    return index_match(spark, d).groupBy("source_match_status").agg(F.count("*").alias("files"))
 
 
 @query(O.TALLIES)
@@ -383,18 +403,6 @@ def corpus_tallies(spark, d):
     return docs.select(pairs.alias("p")).select("p.*").groupBy("field", "value").agg(F.count("*").alias("documents"))
 
 
-@query(O.SOURCE_LAYER)
-def source_layer(spark, d):
-    root = T.source_root(F.col("source_path"))
-    layer, role = T.layer_and_role(F.col("source_root"))
-    rows = spark.createDataFrame([(n, p) for n, p in O.NAMES], "file_name string, source_path string")
-    return rows.withColumn("source_root", root).select(
-        "file_name", "source_path", "source_root", layer.alias("dataset_layer"), role.alias("dataset_role"),
-        T.doc_type(F.col("file_name"), F.col("source_path")).alias("doc_type"),
-        T.platform(F.col("file_name"), F.col("source_path")).alias("platform"),
-    )
-
-
 @query(O.DATES)
 def filename_dates(spark, d):
     rows = spark.read.parquet(f"{d}/documents_manifest.parquet").select("doc_id").distinct()
@@ -407,17 +415,6 @@ def doc_types(spark, d):
     return rows.select("doc_id", T.doc_type(F.concat("doc_id", F.lit(".md")), F.lit("")).alias("doc_type"))
 
 
-@query(O.UNIQUE_IDS)
-def doc_ids(spark, d):
-    rows = spark.createDataFrame([(p,) for p in O.STEM_PATHS], "path string")
-    return dedup.unique_ids(rows)
-
-
-@query(O.RENAMES)
-def rename_plan(spark, d):
-    return index.rename_plan(spark.createDataFrame([(p,) for p in O.RENAME_PATHS], "path string"))
-
-
 def _paths(spark: SparkSession, d: str) -> DataFrame:
     """Every path of the tables once: of the corpus, of the scanned files and of the pages' raw files."""
     scanned = spark.read.parquet(f"{d}/file_meta.parquet").select("path")
@@ -426,7 +423,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def source_layer_files(spark, d):
+def source_layer(spark, d):
     """Source, layer, role, type and platform of every path of the tables."""
     layer, role = T.layer_and_role(F.col("source_root"))
     rows = _paths(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("source_path"))
@@ -437,13 +434,13 @@ def source_layer_files(spark, d):
     )
 
 
-@query()
-def doc_ids_files(spark, d):
+@query(O.UNIQUE_IDS)
+def doc_ids(spark, d):
     return dedup.unique_ids(_paths(spark, d))
 
 
-@query()
-def rename_plan_files(spark, d):
+@query(O.RENAMES)
+def rename_plan(spark, d):
     return index.rename_plan(_paths(spark, d))
 
 

@@ -113,6 +113,13 @@ CLEAN_TEXT = (
     "SELECT d.doc_id, coalesce(j.t, '') AS clean_text FROM documents d LEFT JOIN j USING (doc_id)"
 )
 REPEATED_LINES = f"WITH {_CLEAN_LINES} SELECT doc_id, line, count(*) AS n FROM l GROUP BY doc_id, line HAVING count(*) > 3"
+
+
+def fourfold(sql: str) -> str:
+    """A query over the texts, with each of them four times over."""
+    return sql.replace("FROM documents", "FROM (SELECT doc_id, concat_ws(chr(10), text, text, text, text) AS text FROM documents)")
+
+
 FIRST_LINE = f"SELECT doc_id, {strip(chr(34) + 'x' + chr(34))} AS first_line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r')[1] AS \"x\" FROM documents)"
 SCRIPT = (
     "WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS lat, len(regexp_extract_all(text, '[А-Яа-яЁё]')) AS cyr FROM documents) "
@@ -250,14 +257,6 @@ HAMMING = (
 )
 
 #: Files and rows of an older index that end in each of the five statuses.
-INDEX_FILES = (("a/one.md", "h1", 10), ("a/two.md", "h2", 20), ("a/three.md", "h3", 30), ("b/four.md", "h4", 40), ("b/five.md", "h5", 50), ("b/six.md", "h6", 60))
-OLD_INDEX = (
-    ("md", "x/one.md", "s/one", "h1", "10"), ("md", "y/one.md", "s/one-b", "h0", "10"), ("md", "x/two.md", "s/two", "h2", "20"),
-    ("md", "y/two.md", "s/two-b", "h2", "20"), ("md", "x/three.md", "s/three", "h0", "30"), ("md", "x/four.md", "s/four", "h0", "1"),
-    ("md", "y/four.md", "s/four-b", "h9", "2"), ("pdf", "x/five.md", "s/five", "h5", "50"), ("md", "", "s/none", "h6", "60"),
-)
-
-
 def values(rows, names: str) -> str:
     def one(v) -> str:
         return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -265,14 +264,6 @@ def values(rows, names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(one(v) for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows) + f") t({names})"
 
 
-INDEX_MATCH = (
-    f"WITH f AS (SELECT * FROM {values(INDEX_FILES, 'path, sha, size')}), o AS (SELECT * FROM {values(OLD_INDEX, 'fg, crp, srp, ssha, ssize')} WHERE fg = 'md' AND crp <> ''), "
-    "j AS (SELECT path, count(srp) AS n, count(*) FILTER (ssha = sha AND ssize = CAST(size AS VARCHAR)) AS e, min(srp) FILTER (ssha = sha AND ssize = CAST(size AS VARCHAR)) AS ex, min(srp) AS an "
-    "FROM f LEFT JOIN o ON string_split(path, '/')[-1] = string_split(crp, '/')[-1] GROUP BY path) "
-    "SELECT path, CASE WHEN n = 0 THEN 'unmatched_in_old_index' WHEN e = 1 THEN 'matched_by_hash_size_and_name' WHEN e > 1 THEN 'ambiguous_old_index_hash_size_name' "
-    "WHEN n = 1 THEN 'matched_by_name_only' ELSE 'ambiguous_old_index_name' END AS source_match_status, "
-    "CASE WHEN e = 1 THEN ex WHEN e = 0 AND n = 1 THEN an ELSE '' END AS source_relative_path FROM j"
-)
 INDEX_MATCH_FILES = (
     f"WITH {FILES}, o AS (SELECT path AS op, 'source/' || path || '@' || substr(sha256, 1, 8) AS srp, sha256 AS ssha, CAST(size AS VARCHAR) AS ssize FROM file_meta), "
     "j AS (SELECT f.path, count(srp) AS n, count(*) FILTER (ssha = sha AND ssize = CAST(size AS VARCHAR)) AS e, min(srp) FILTER (ssha = sha AND ssize = CAST(size AS VARCHAR)) AS ex, min(srp) AS an "
@@ -293,21 +284,6 @@ TALLIES = " UNION ALL ".join(
         ("date_status", "CASE WHEN coalesce(filename_date, 'not_found') = 'not_found' THEN 'not_found' ELSE 'parsed' END"), ("script", _SCRIPT_OF),
     )
 )
-#: (file name, source path, root, layer, role, type, platform) as they must come out.
-EXPECTED_NAMES = (
-    ("ab__Acme_Privacy_Policy.md", "", "unknown", "unknown", "unknown", "privacy_policy", "Acme"),
-    ("ab__20240115_Acme_Terms_of_Service.md", "other/x.md", "other", "unknown", "unknown", "terms_of_service", "Acme"),
-    ("ab__2026-01-09T23-31-40Z.md", "COMPARE-main/a/b/c/Zed/f.md", "COMPARE-main", "main_core", "sampling frame / community guidelines", "unknown", "Zed"),
-    ("ab__2026-01-09T23-31-40Z.md", "COMPARE-main/a/f.md", "COMPARE-main", "main_core", "sampling frame / community guidelines", "unknown", "unknown"),
-    ("x_guidelines.md", "genai-eu-2026-05-25/a/Bot/f.md", "genai-eu-2026-05-25", "ai_module", "AI governance extension", "community_guidelines", "Bot"),
-    ("cookie.md", "pga-versions-actual/Site/f.md", "pga-versions-actual", "main_core", "platform governance archive versions", "cookie_policy", "Site"),
-    ("data-use.md", "pga-corpus-1.01/v/Plat/k/f.md", "pga-corpus-1.01", "historical_module", "historical platform governance archive", "unknown", "Plat"),
-    ("123.md", "data use/f", "data use", "unknown", "unknown", "data_policy", "unknown"),
-    ("a__b__c.md", "z/api terms", "z", "unknown", "unknown", "developer_terms", "b c"),
-)
-NAMES = tuple((r[0], r[1]) for r in EXPECTED_NAMES)
-SOURCE_LAYER = f"SELECT * FROM {values(EXPECTED_NAMES, 'file_name, source_path, source_root, dataset_layer, dataset_role, doc_type, platform')}"
-
 _BASE = "CASE WHEN contains(doc_id, '__') THEN substr(doc_id, strpos(doc_id, '__') + 2) ELSE doc_id END"
 _STAMP = "([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{2})-([0-9]{2})-([0-9]{2})Z"
 _DAY = "(^|[_-])([0-9]{4})([0-9]{2})([0-9]{2})([_-]|$)"
@@ -332,15 +308,24 @@ DOC_TYPES = (
     "WHEN regexp_matches(h, 'developer|api terms') THEN 'developer_terms' WHEN contains(h, 'cookie') THEN 'cookie_policy' WHEN regexp_matches(h, 'data (policy|processing|use)') THEN 'data_policy' "
     "WHEN regexp_matches(h, 'terms|tos|service') THEN 'terms_of_service' ELSE 'unknown' END AS doc_type FROM x"
 )
-STEM_PATHS = ("a-b/x.md", "a/x.md", "b/x.md", "b/y.md")
-UNIQUE_IDS = "SELECT * FROM " + values(
-    (("a/x.md", "x", "x", "unique"), ("a-b/x.md", "x__dup002", "x", "renamed_duplicate_stem"), ("b/x.md", "x__dup003", "x", "renamed_duplicate_stem"), ("b/y.md", "y", "y", "unique")),
-    "path, doc_id, original_doc_id, doc_id_collision_status",
-)
-RENAME_PATHS = ("d/a b.md", "d/a_b.md", "d e/c.md", "d/x y.md", "top file.md")
-RENAMES = "SELECT * FROM " + values(
-    (("d/a b.md", "d/a_b.md", "collision"), ("d/a_b.md", "d/a_b.md", "unchanged"), ("d e/c.md", "d e/c.md", "unchanged"), ("d/x y.md", "d/x_y.md", "renamed"), ("top file.md", "top_file.md", "renamed")),
-    "path, new_path, status",
+_PATHS = "p AS (SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.md' AS path FROM documents UNION SELECT path FROM file_meta UNION SELECT raw_path FROM documents_manifest), q AS (SELECT DISTINCT path FROM p WHERE path IS NOT NULL)"
+_STEM = r"regexp_replace(string_split(path, '/')[-1], '(.)\.[^.]+$', '\1')"
+UNIQUE_IDS = (
+    f"WITH {_PATHS}, s AS (SELECT path, {_STEM} AS stem FROM q), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY string_split(path, '/')) AS k FROM s) "
+    "SELECT path, CASE WHEN k = 1 THEN stem ELSE stem || '__dup' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END END AS doc_id, stem AS original_doc_id, "
+    "CASE WHEN k = 1 THEN 'unique' ELSE 'renamed_duplicate_stem' END AS doc_id_collision_status FROM n"
+)
+RENAMES = (
+    rf"WITH {_PATHS}, s AS (SELECT path, regexp_extract(path, '^(.*/)?', 0) || replace(string_split(path, '/')[-1], ' ', '_') AS new_path FROM q), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY new_path ORDER BY path <> new_path, path) AS k FROM s) "
+    "SELECT path, new_path, CASE WHEN path = new_path THEN 'unchanged' WHEN k > 1 THEN 'collision' ELSE 'renamed' END AS status FROM n"
+)
+INDEX_TOTALS = (
+    f"WITH m AS ({INDEX_MATCH_FILES}), t AS (SELECT count(*) AS a, count(*) FILTER (source_match_status <> 'unmatched_in_old_index') AS b FROM m), "
+    "o AS (SELECT count(*) AS a, count(DISTINCT string_split(path, '/')[-1]) AS b FROM file_meta) "
+    "SELECT 'total_files' AS name, a AS n FROM t UNION ALL SELECT 'old_index_name_matches', b FROM t UNION ALL SELECT 'unmatched_in_old_index', a - b FROM t "
+    "UNION ALL SELECT 'old_index_rows', a FROM o UNION ALL SELECT 'old_index_unique_names', b FROM o "
+    "UNION ALL SELECT 'duplicate_stems', count(*) - count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'status:' || source_match_status, count(*) FROM m GROUP BY 1"
 )
 _URL = (
     "u AS (SELECT url AS raw, " + strip("coalesce(url, '')") + " AS s FROM documents_manifest), "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.config import GROUPS, TEST_DICTIONARY, CorpusConfig, DuplicateConfig
 from docloom.functions import text as T
 from docloom.operators import dedup, features, index, quality, segments, selection, tokenstats
-from docloom.shared import cut
+from docloom.shared import cut, release, written
 from docloom.sources import files as S
 from docloom.sources import sinks
 
@@ -57,9 +57,11 @@ def corpus_tables(files: DataFrame, old: DataFrame, groups: dict[str, list[str]]
     }
 
 
-def run_corpus(spark: SparkSession, folder: str, out: str, old_index: str = "", groups: dict[str, list[str]] | None = None, config: CorpusConfig = CorpusConfig(), hidden: bool = False) -> dict[str, str]:
+def run_corpus(spark: SparkSession, folder: str, out: str, old_index: str = "", groups: dict[str, list[str]] | None = None, config: CorpusConfig = CorpusConfig(), hidden: bool = False, csv: bool = False) -> dict[str, str]:
     """Read, analyse and write everything below ``out``; the paths of the tables by name. Files whose path has a part that
-    begins with ``_`` or ``.`` are read with ``hidden``, as the command line does; without, a check fails if there are any."""
+    begins with ``_`` or ``.`` are read with ``hidden``, as the command line does; without, a check fails if there are any.
+    ``csv`` writes each table as CSV too. Tables of the run's own in the shared folder are deleted at its end."""
+    mark = written()
     files = cut(S.decoded((S.all_files if hidden else S.markdown_files)(spark, folder)), "files")
     old = S.read_csv(spark, old_index or f"{out}/no-index.csv", OLD_INDEX_COLUMNS)
     tables = corpus_tables(files, old, groups, config)
@@ -69,22 +71,44 @@ def run_corpus(spark: SparkSession, folder: str, out: str, old_index: str = "",
     paths = {name: sinks.write_table(df, out, name) for name, df in tables.items()}
     stored = {name: spark.read.parquet(path) for name, path in paths.items()}
     counts = {name: df.count() for name, df in stored.items()}
-    extra = quality.output_checks(spark, paths).unionByName(
-        spark.createDataFrame(quality.optional_dependencies(), "check_name string, status string, detail string")
+    optional = quality.optional_dependencies()
+    extra = quality.output_checks(spark, paths, sinks.code_modified()).unionByName(
+        spark.createDataFrame(optional, "check_name string, status string, detail string")
     )
+    index_totals = index.diagnostics(index.match_index(files.select("path", "sha256", "size"), old), old, stored["corpus_index"])
+    diagnostics = {r["name"]: r["n"] for r in index_totals.collect()}
+    if csv:
+        for name, df in stored.items():
+            sinks.write_csv(df, f"{out}/csv/{name}")
     paths["output_checks"] = sinks.write_table(extra, out, "output_checks")
-    sinks.write_text(sinks.manifest_json(asdict(config), groups or TEST_DICTIONARY, counts), f"{out}/run_manifest.json")
+    dependencies = {name.partition(":")[2]: detail for name, _, detail in optional}
+    sinks.write_text(sinks.manifest_json(asdict(config), groups or TEST_DICTIONARY, counts, diagnostics, dependencies), f"{out}/run_manifest.json")
     report = sinks.corpus_report(stored["corpus_index"], stored["segments"], stored["document_feature_summary"], stored["token_frequencies"], stored["quality_checks"], counts["candidate_fragments"])
     sinks.write_text(report, f"{out}/report.md")
+    release(spark, mark)
     return paths
 
 
 def run_duplicates(spark: SparkSession, folder: str, out: str, config: DuplicateConfig = DuplicateConfig()) -> dict[str, str]:
     """Find duplicates below a folder; writes the records, the kept files and a report. Nothing is deleted."""
+    mark = written()
     raw = S.all_files(spark, folder, guarded=True).withColumn("text", S.utf8_text(F.col("content")))
     files = cut(raw.select("path", "size", "sha256", "text", T.first_line(F.col("text")).alias("first_line")), "files")
     records = cut(dedup.duplicates(files, config.threshold, config.simhash_max_distance if config.prefilter else None), "records")
     paths = {"duplicates": sinks.write_table(records, out, "duplicates"), "kept": sinks.write_table(dedup.kept_files(files, records).drop("text"), out, "kept")}
-    header = {"threshold": config.threshold, "prefilter": config.prefilter, "files": files.count(), "duplicates": records.count()}
+    run = dedup.run_counts(files, config.threshold, config.simhash_max_distance if config.prefilter else None).first().asDict()
+    header = {"threshold": config.threshold, "prefilter": config.prefilter, "files": files.count(), "duplicates": records.count(), **run}
     sinks.write_text(sinks.duplicate_report(records, header), f"{out}/duplicates.md")
+    release(spark, mark)
     return paths
+
+
+def run_conversion(spark: SparkSession, folder: str, out: str, convert=None) -> DataFrame:
+    """Convert the PDF and DOCX files of a folder, not of those below it, to ``<stem>.md`` in ``out``, a folder all executors
+    mount; ``path, status`` of each. A file that fails leaves the others alone."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,docx,PDF,DOCX}").load(folder)
+    files = raw.select(F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1).alias("path"), "content")
+    done = cut(S.convert_documents(files, convert), "converted")
+    texts = done.filter("status = 'ok'").select(F.col("path").alias("page_id"), F.regexp_replace("path", r"\.[^.]+$", ".md").alias("file_name"), "markdown")
+    sinks.write_named(texts, out)
+    return done.select("path", "status")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -21,11 +22,15 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local master does without it and gets a temporary
+    one; on a cluster a missing setting is an error, as no machine's own folder is seen by the others."""
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     if _local_dir is None:
         keep = tempfile.TemporaryDirectory(prefix="docloom-")
         atexit.register(keep.cleanup)
@@ -33,6 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any scheme."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a file through Hadoop, where the tables go too: a local folder, HDFS or an object store."""
+    system, place = file_system(spark, path)
+    out = system.create(place, True)
+    try:
+        for at in range(0, len(content), 1 << 20):
+            out.write(content[at : at + (1 << 20)])
+    finally:
+        out.close()
+
+
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later readers neither recompute it nor lose it with
     an executor."""
@@ -43,12 +65,17 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that :func:`cut` has written; results that still read them must be stored before."""
-    jvm, n = spark.sparkContext._jvm, 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+def written() -> int:
+    """How many tables :func:`cut` has written that aren't released: a mark for :func:`release`."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that :func:`cut` has written since a mark; results that still read them must be stored before."""
+    n = 0
+    while len(_written) > since:
+        system, place = file_system(spark, _written.pop())
+        n += bool(system.delete(place, True))
     return n
 
 
@@ -61,20 +88,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Let the workers import this package where they can't yet: if its folder isn't on ``PYTHONPATH``, a zip of it in the
-    shared folder is added to the application, once."""
+    shared folder, whatever its scheme, is added to the application, once."""
     root = Path(__file__).resolve().parents[1]
     context = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
         return
-    folder = Path(shared_dir(spark).removeprefix("file://"))
-    if "://" in str(folder) or not os.access(folder if folder.exists() else folder.parent, os.W_OK):
-        return
-    folder.mkdir(parents=True, exist_ok=True)
-    target = folder / f"docloom-{context.applicationId}.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as z:
         for source in sorted((root / "docloom").rglob("*.py")):
             z.write(source, source.relative_to(root))
-    context.addPyFile(str(target))
+    target = f"{shared_dir(spark)}/docloom-{context.applicationId}.zip"
+    write_bytes(spark, target, content.getvalue())
+    context.addPyFile(target)
     _shipped.add(context.applicationId)
 
 

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.index import output_names
+from docloom.shared import cut, write_bytes
+
 
 def write_table(df: DataFrame, folder: str, name: str) -> str:
     path = f"{folder.rstrip('/')}/{name}.parquet"
@@ -26,10 +31,22 @@ def dictionary_hash(groups: dict[str, list[str]]) -> str:
     return hashlib.sha256(json.dumps(groups, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
 
 
-def manifest_json(parameters: dict, groups: dict[str, list[str]], counts: dict[str, int]) -> str:
+def code_hashes() -> dict[str, str]:
+    """SHA-256 of each module of this package, by its path: with what a run was made."""
+    root = Path(__file__).resolve().parents[1]
+    return {str(p.relative_to(root.parent)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*.py"))}
+
+
+def code_modified() -> float:
+    """When the newest module of this package was changed, in seconds."""
+    return max(p.stat().st_mtime for p in Path(__file__).resolve().parents[1].rglob("*.py"))
+
+
+def manifest_json(parameters: dict, groups: dict[str, list[str]], counts: dict[str, int], diagnostics: dict | None = None, dependencies: dict | None = None) -> str:
     return json.dumps(
         {"parameters": parameters, "dictionary_sha256": dictionary_hash(groups), "dictionary_sizes": {g: len(t) for g, t in groups.items()},
-         "counts": counts, "deduplication_performed": False},
+         "counts": counts, "deduplication_performed": False, "code_sha256": code_hashes(), "diagnostics": diagnostics or {},
+         "optional_dependencies": dependencies or {}},
         ensure_ascii=False, indent=2, sort_keys=True,
     )
 
@@ -64,5 +81,32 @@ def duplicate_report(records: DataFrame, header: dict[str, object], limit: int |
 
 
 def write_text(text: str, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+    """Write a text through Hadoop's file system, so that a report lies where the tables lie."""
+    write_bytes(SparkSession.getActiveSession(), path, text.encode("utf-8"))
+
+
+def write_pages(pages: DataFrame, folder: str, day: str) -> DataFrame:
+    """Write each page (page_id, slug, markdown) as a file of its own below a folder that all executors mount; the result is
+    ``page_id, file_name``. Names are those of :func:`docloom.operators.index.output_names`, numbered where they recur; a page
+    written again, as after a lost executor, replaces itself. Null texts are written as empty files."""
+    return write_named(pages.select("page_id", "markdown").join(output_names(pages.select("page_id", "slug"), day), "page_id"), folder)
+
+
+def write_named(named: DataFrame, folder: str) -> DataFrame:
+    """Write rows (page_id, file_name, markdown) as files; see :func:`write_pages`."""
+    local = folder.removeprefix("file://")
+    if "://" in local:
+        raise ValueError(f"pages are written to a mounted folder: {folder}")
+
+    def write(frames):
+        os.makedirs(local, exist_ok=True)
+        for frame in frames:
+            for name, text in zip(frame.file_name, frame.markdown):
+                part = os.path.join(local, f".{name}.{uuid.uuid4().hex}")
+                with open(part, "w", encoding="utf-8", newline="") as out:
+                    out.write(text or "")
+                os.replace(part, os.path.join(local, name))
+            yield frame[["page_id", "file_name"]]
+
+    kind = dict(named.dtypes)["page_id"]
+    return cut(named.select("page_id", "file_name", "markdown").mapInPandas(write, f"page_id {kind}, file_name string"), "pages")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.__main__ import main
 from docloom.plans import pipeline
 from docloom.sources import files as S
+from docloom.shared import written
 from docloom.sources import sinks
 from docloom.streaming import incremental
 
@@ -56,15 +57,48 @@ def test_conversion_without_library(spark, tmp_path):
 
 
 def test_corpus_pipeline(spark, folder, tmp_path):
+    mark = written()
     paths = pipeline.run_corpus(spark, str(folder), str(tmp_path / "out"))
     index = {r.path: r for r in spark.read.parquet(paths["corpus_index"]).collect()}
     assert index["a__20240115_Acme_Privacy_Policy.md"].filename_date == "2024-01-15" and len(index) == 5
     assert len(paths) == 13 and spark.read.parquet(paths["output_checks"]).filter("status = 'fail'").count() == 0
+    assert written() == mark  # the run's own tables are gone
     manifest = json.loads((tmp_path / "out" / "run_manifest.json").read_text())
+    assert manifest["diagnostics"]["total_files"] == 5 and manifest["diagnostics"]["unmatched_in_old_index"] == 5
+    assert len(manifest["code_sha256"]["docloom/shared.py"]) == 64 and "spacy" in manifest["optional_dependencies"]
     assert manifest["counts"]["corpus_index"] == 5 and manifest["deduplication_performed"] is False
     assert "documents: 5" in (tmp_path / "out" / "report.md").read_text()
 
 
+def test_own_dictionary_and_csv(spark, folder, tmp_path):
+    (tmp_path / "terms.csv").write_text("group,ord,term\nprocedure,2,appeals panel\nprocedure,1,review\nmine,1,warning\n", encoding="utf-8")
+    main(["corpus", "--input-dir", str(folder), "--out-dir", str(tmp_path / "out"), "--dictionary", str(tmp_path / "terms.csv"), "--csv"])
+    manifest = json.loads((tmp_path / "out" / "run_manifest.json").read_text())
+    assert manifest["dictionary_sizes"]["procedure"] == 2 and manifest["dictionary_sizes"]["mine"] == 1
+    rows = S.read_csv(spark, str(tmp_path / "out" / "csv" / "document_feature_summary"))
+    assert rows.filter("procedure_terms = 'review|appeals panel'").count() >= 1 or rows.filter("procedure_count = '10'").count() >= 1
+
+
+def test_pages_as_files(spark, tmp_path):
+    rows = [("a", "site", "one\r\n"), ("b", "site", "two"), ("c", "other", None)]
+    done = sinks.write_pages(spark.createDataFrame(rows, "page_id string, slug string, markdown string"), str(tmp_path / "pages"), "2026-01-01")
+    assert {tuple(r) for r in done.collect()} == {("a", "site_2026-01-01.md"), ("b", "site_2026-01-01_2.md"), ("c", "other_2026-01-01.md")}
+    assert (tmp_path / "pages" / "site_2026-01-01.md").read_bytes() == b"one\r\n" and (tmp_path / "pages" / "other_2026-01-01.md").read_bytes() == b""
+    assert sorted(p.name for p in (tmp_path / "pages").iterdir()) == ["other_2026-01-01.md", "site_2026-01-01.md", "site_2026-01-01_2.md"]
+    with pytest.raises(ValueError):
+        sinks.write_named(spark.createDataFrame([], "page_id string, file_name string, markdown string"), "s3://x/y")
+
+
+def test_converted_files(spark, tmp_path):
+    root = tmp_path / "docs"
+    (root / "below").mkdir(parents=True)
+    for name in ("x.pdf", "x.docx", "y.PDF", "bad.pdf", "below/z.pdf"):
+        (root / name).write_bytes(name.encode())
+    done = pipeline.run_conversion(spark, str(root), str(tmp_path / "md"), lambda raw, suffix: 1 / 0 if raw.startswith(b"bad") else raw.decode())
+    assert {tuple(r) for r in done.collect()} == {("x.docx", "ok"), ("y.PDF", "ok"), ("bad.pdf", "error: ZeroDivisionError")}
+    assert {p.name: p.read_text() for p in (tmp_path / "md").iterdir()} == {"x.md": "x.docx", "y.md": "y.PDF"}
+
+
 def test_duplicate_pipeline_and_cli(spark, folder, tmp_path):
     main(["duplicates", "--input-dir", str(folder), "--out-dir", str(tmp_path / "dup")])
     rows = spark.read.parquet(str(tmp_path / "dup" / "duplicates.parquet")).collect()
