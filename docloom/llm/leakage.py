@@ -93,3 +93,18 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text
         .filter(_same_run("b1", "b2") + _same_run("a1", "a2") >= span - k)
         .select("doc_id", "item_id").distinct()
     )
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``item_id, documents``: in how many documents each item leaked; 0 for the others. An item's repeated rows are one,
+    null ids none."""
+    key = options.get("item_id", "item_id")
+    hits = leaks(docs, items, **options).groupBy("item_id").agg(F.count("*").alias("documents"))
+    every = items.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id")).distinct()
+    return every.join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0).cast("long")).alias("documents"))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The documents into which no item leaked, all columns kept; documents with a null id stay."""
+    hits = leaks(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hits, F.col(options.get("doc_id", "doc_id")).cast("long") == F.col("_hit"), "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm import boilerplate, distinctive, leakage, markup, mixing, neardup, residue, sitelines, termfreq, tokenbudget
 
-#: A vocabulary file of a public tokenizer, for the counts that aren't estimates.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A vocabulary file of a public tokenizer, for the counts that aren't estimates; the environment may name another.
+TOKENIZER = os.environ.get("DOCLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,6 +141,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
 
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.without_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "text")
+
+
 def _mix(spark: SparkSession, d: str, tokenizer: str | None = None):
     documents = mixing.sized(_t(spark, d, "documents"), tokenizer=tokenizer)
     return documents, *mixing.plan(documents, _t(spark, d, "source_targets"))
@@ -178,6 +187,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         p1_found, p1_decided, p1_wrappers, p1_main_text, p2_found, p2_groups, p2_classes, p2_links, p2_files, p3_found, p3_counts, p3_stored, p4_found, p4_slices,
         p4_tokenizer_slices, p5_found, p5_lines, p5_clean, p6_found, p6_top_score, p6_scores, p7_found, p7_clean, p7_regions,
-        p8_found, p9_found, p9_sources, p9_mix, p9_tokenizer_sources, p10_found, p10_labels, p10_clean,
+        p8_found, p8_items, p8_clean, p9_found, p9_sources, p9_mix, p9_tokenizer_sources, p10_found, p10_labels, p10_clean,
     )
     return {f.__name__: f for f in named}

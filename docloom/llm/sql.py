@@ -61,6 +61,11 @@ def oracle_sql() -> dict[str, str]:
     spans = (
         "list_transform(range(1, len(ws) - 10), lambda i: array_to_string(list_slice(ws, i, i + 11), ' '))"
     )
+    leaks = (
+        f"d AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), e AS (SELECT item_id, {WORDS.format('text')} AS ws FROM eval_items), "
+        f"x AS (SELECT DISTINCT doc_id, unnest({spans}) AS s FROM d WHERE len(ws) >= 12), y AS (SELECT DISTINCT item_id, unnest({spans}) AS s FROM e WHERE len(ws) >= 12), "
+        "h AS (SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (s))"
+    )
     return {
         "p2_found": (
             f"WITH {shingles}, j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL) "
@@ -96,11 +101,9 @@ def oracle_sql() -> dict[str, str]:
             "s AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY c * ln(CAST((SELECT count(*) FROM pages) AS DOUBLE) / d) DESC, term) AS k FROM c JOIN d USING (term)) "
             "SELECT doc_id, term FROM s WHERE k = 1"
         ),
-        "p8_found": (
-            f"WITH d AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), e AS (SELECT item_id, {WORDS.format('text')} AS ws FROM eval_items), "
-            f"x AS (SELECT DISTINCT doc_id, unnest({spans}) AS s FROM d WHERE len(ws) >= 12), y AS (SELECT DISTINCT item_id, unnest({spans}) AS s FROM e WHERE len(ws) >= 12) "
-            "SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (s)"
-        ),
+        "p8_found": f"WITH {leaks} SELECT doc_id, item_id FROM h",
+        "p8_items": f"WITH {leaks} SELECT e.item_id, count(h.doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_items) e LEFT JOIN h USING (item_id) GROUP BY e.item_id",
+        "p8_clean": f"WITH {leaks} SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)",
         "p9_found": (
             "WITH t AS (SELECT source, sum(ceil(length(text) / 4.0)) AS n FROM documents GROUP BY source) SELECT s.source FROM source_targets s LEFT JOIN t USING (source) "
             "WHERE s.max_repeats * coalesce(t.n, 0) < s.target_share * (SELECT sum(n) FROM t)"

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import check, connect  # noqa: E402
 
+from docloom.functions.tokenizer import counter  # noqa: E402
+from docloom.llm.kernels import words  # noqa: E402
 from docloom.llm import (  # noqa: E402
     boilerplate, distinctive, leakage, markup, mixing, neardup, queries, residue, sitelines, sql, termfreq, tokenbudget,
 )
@@ -27,15 +29,228 @@ def con(data_dir):
     return connect(data_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, data_dir, con, name):
+    check(queries.queries()[name](spark, data_dir), con, SQL[name])
+
+
+def run(spark, data_dir, name):
+    return queries.queries()[name](spark, data_dir).collect()
+
+
+def rows_of(con, query):
+    return con.execute(query).fetchall()
+
+
+@pytest.fixture(scope="module")
+def markdown(con):
+    return dict(rows_of(con, "SELECT DISTINCT doc_id, markdown FROM extracted_documents"))
+
+
+@pytest.fixture(scope="module")
+def texts(con):
+    return dict(rows_of(con, "SELECT doc_id, text FROM documents"))
+
+
+def test_every_query_has_sql_or_a_test():
+    here = Path(__file__).read_text(encoding="utf-8")
+    assert [n for n in queries.queries() if n not in SQL and f'"{n}"' not in here] == []
+
+
+def decisions(markdown, con):
+    """What the wrapper or an exemplar decides, site by site in one process."""
+    urls = {}
+    for key, url in rows_of(con, "SELECT doc_id, url FROM documents_manifest WHERE url IS NOT NULL"):
+        urls[key] = max(urls.get(key, ""), boilerplate.site_of(url) or "")
+    sites = {}
+    for key in sorted(markdown):
+        url = boilerplate.header_url(markdown[key])
+        site = urls.get(key) or boilerplate.site_of(url) or ""
+        sites.setdefault(site, []).append((key, boilerplate.line_stream(markdown[key] or "", url, boilerplate.site_of(url))))
+    out = set()
+    for site in sites.values():
+        assert len(site) <= boilerplate.BLOCK_PAGES
+        streams = [s for _, s in site]
+        fixed = boilerplate.fixed_words(streams)
+        shaped = boilerplate.shape(streams, fixed, boilerplate.common_titles(streams, fixed))
+        wrapper = boilerplate.infer_wrapper(shaped, boilerplate.owners(streams))
+        decided = {k: boilerplate.verdict(k, wrapper.support[k], a / n) for k, (a, n) in boilerplate.element_scores(shaped, wrapper).items()}
+        for (key, _), stream in zip(site, shaped):
+            for n, k, label in stream:
+                if decided.get(k) or label > 0 and decided.get(k) is None:
+                    out.add((key, n, "wrapper" if decided.get(k) else "exemplar"))
+    return out
+
+
+def test_boilerplate_queries(spark, data_dir, con, markdown):
+    want = decisions(markdown, con)
+    rows = run(spark, data_dir, "p1_decided")
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    found = {tuple(r) for r in run(spark, data_dir, "p1_found")}
+    assert found == {(k, n) for k, n, _ in want}
+    clean = {r.doc_id: r.markdown for r in run(spark, data_dir, "p1_main_text")}
+    assert clean == {k: t and "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (k, n) not in found) for k, t in markdown.items()}
+    for r in run(spark, data_dir, "p1_wrappers"):
+        assert r.support > 1 and 0 <= r.score <= 1 and (r.chrome is None or r.chrome == boilerplate.verdict(r.element, r.support, r.score) or abs(r.score - 0.55) < 0.5)
+
+
+def test_wrapper_alone_finds_most_and_nothing_wrong():
+    """Without exemplars, on pages whose own lines are known: built sites, so that the truth is."""
+    dice = random.Random(3)
+    words = ["".join(dice.choices("abcdefghiklmnoprstu", k=6)) for _ in range(2000)]
+    top, bottom, clauses = (
+        [" ".join(dice.choices(words, k=n)).capitalize() + end for n, end in zip((2, 3, 5, 9, 30), ("", "", "?", "!", "."))] for _ in range(3)
+    )
+    streams, truth = [], []
+    for i in range(60):
+        own = [" ".join(dice.choices(words, k=dice.randint(3, 30))) + "." for _ in range(dice.randint(3, 9))]
+        for c in dice.sample(clauses, 2):
+            own.insert(dice.randint(0, len(own)), c)
+        above, below = dice.sample(top, 4), dice.sample(bottom, 4)
+        lines = [*above, *own, *below]
+        streams.append(boilerplate.line_stream("\n".join([f"# Page {words[i]}", "_a_", "_b_", *lines]), None, None))
+        truth.append({4 + j for j in range(len(lines)) if j < 4 or j >= len(lines) - 4})
+    fixed = boilerplate.fixed_words(streams)
+    shaped = boilerplate.shape(streams, fixed, boilerplate.common_titles(streams, fixed))
+    wrapper = boilerplate.infer_wrapper(shaped, boilerplate.owners(streams))
+    decided = {k: boilerplate.verdict(k, wrapper.support[k], a / n) for k, (a, n) in boilerplate.element_scores(shaped, wrapper).items()}
+    got = [{n for n, k, _ in s if decided.get(k)} for s in shaped]
+    assert all(g <= t for g, t in zip(got, truth))
+    assert sum(map(len, got)) >= 0.9 * sum(map(len, truth))
+
+
+def test_file_groups(spark, data_dir, con):
+    group = dict(rows_of(con, SQL["p2_groups"]))
+    paths = dict(rows_of(con, "SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.md', doc_id FROM documents"))
+    latest = {p: (line, h) for p, line, h in rows_of(con, "SELECT path, first_line, simhash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, sha256 DESC, first_line DESC NULLS LAST, simhash DESC NULLS LAST) AS k FROM file_meta) WHERE k = 1")}
+    logged = {}
+    for a, b, x in rows_of(con, "SELECT deleted_file, original_file, CASE WHEN similarity > 1 THEN similarity / 100 ELSE similarity END FROM duplicates"):
+        for path in (a, b):
+            logged[path] = x if logged.get(path) is None else max(logged[path], x or 0)
+    path_of = {v: k for k, v in paths.items()}
+    want = set()
+    for doc, g in group.items():
+        line, h = latest.get(path_of[doc], (None, None))
+        head = latest.get(path_of[g], (None, None))[1]
+        bits = None if h is None or head is None else ((h ^ head) & (1 << 64) - 1).bit_count()
+        want.add((path_of[doc], doc, g, line, bits, logged.get(path_of[doc])))
+    rows = run(spark, data_dir, "p2_files")
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+
+
+def test_tokenizer_slices(spark, data_dir, con, markdown):
+    if not Path(queries.TOKENIZER).exists():
+        pytest.skip("no tokenizer")
+    count = counter(queries.TOKENIZER)
+    slices = {k: tuple(v) for k, *v in rows_of(con, f"WITH {sql._FACTS} SELECT DISTINCT doc_id, coalesce(p, 'unknown'), coalesce(l, 'unknown'), coalesce(t, 'unknown') FROM pages LEFT JOIN facts USING (doc_id)")}
+    want = {}
+    for key, text in markdown.items():
+        pages_, tokens_ = want.get(slices[key], (0, 0))
+        want[slices[key]] = (pages_ + 1, tokens_ + count([text or ""])[0])
+    rows = run(spark, data_dir, "p4_tokenizer_slices")
+    assert {(r.platform_slug, r.language, r.doc_type): (r.pages, r.tokens) for r in rows} == want
+    assert math.isclose(sum(r.share for r in rows), 1)
+
+
+def test_scores(spark, data_dir, markdown):
+    """Exact tails summed from log-gamma term by term, adjusted by the textbook procedure."""
+    bags = {k: Counter(re.findall("[A-Za-zА-Яа-яЁё0-9-]+", t.lower())) for k, t in markdown.items() if t}
+    total, held = Counter(), Counter()
+    for bag in bags.values():
+        total.update(bag)
+        held.update(bag.keys())
+    m = sum(total.values())
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    memo = {}
+
+    def tail(c, k, n):
+        if (c, k, n) not in memo:
+            logs = [choose(k, x) + choose(m - k, n - x) - choose(m, n) for x in range(c, min(k, n, c + 400) + 1)]
+            top = max(logs)
+            memo[c, k, n] = min(0.0, top + math.log(math.fsum(math.exp(x - top) for x in logs)))
+        return memo[c, k, n]
+
+    rows = run(spark, data_dir, "p6_scores")
+    got = {(r.doc_id, r.term): r for r in rows}
+    assert len(rows) == len(got) == sum(map(len, bags.values()))
+    for key in sorted(bags)[::4]:
+        bag = bags[key]
+        n = sum(bag.values())
+        p = sorted((tail(c, total[t], n), t) for t, c in bag.items())
+        best = 0.0
+        for rank in range(len(p), 0, -1):
+            best = min(best, p[rank - 1][0] + math.log(len(p) / rank))
+            r = got[key, p[rank - 1][1]]
+            assert math.isclose(r.score, -best, rel_tol=1e-6, abs_tol=1e-6)
+            assert r["count"] == bag[r.term] and r.document_count == held[r.term]
+            assert math.isclose(r.weight, bag[r.term] * math.log(len(markdown) / held[r.term]), rel_tol=1e-9, abs_tol=1e-12)
+    top = {r.doc_id: r.term for r in run(spark, data_dir, "p6_top_score")}
+    assert top == {key: min(bag, key=lambda t: (-got[key, t].score, t)) for key, bag in bags.items()}
+
+
+def test_markup_queries(spark, data_dir, markdown):
+    rows = run(spark, data_dir, "p7_found")
+    want = {(k, n) for k, t in markdown.items() for n in markup.residue_lines(t)}
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    clean = {r.doc_id: r.markdown for r in run(spark, data_dir, "p7_clean")}
+    assert clean == {k: markup.clean_markup(t) for k, t in markdown.items()}
+    assert [k for k, t in clean.items() if markup.residue_lines(t)] == []  # none is left
+    for key, text in markdown.items():  # and what is no markup stays: code, formulas, words of plain lines
+        hit = set(markup.residue_lines(text))
+        plain = {x.strip() for n, x in enumerate((text or "").split("\n"), 1) if n > 6 and n not in hit}
+        assert plain - {x.strip() for x in (clean[key] or "").split("\n")} <= {""}
+    sizes = Counter()
+    for r in run(spark, data_dir, "p7_regions"):
+        sizes[r.doc_id] += r.lines
+    assert sizes == {k: len(markup._parsed(t)[0]) for k, t in markdown.items() if t}
+
+
+@pytest.mark.parametrize("name", ["p9_sources", "p9_tokenizer_sources"])
+def test_mix_queries(spark, data_dir, con, texts, name):
     if "tokenizer" in name and not Path(queries.TOKENIZER).exists():
         pytest.skip("no tokenizer")
-    df = queries.queries()[name](spark, data_dir)
-    if name in SQL:
-        check(df, con, SQL[name])
-    else:
-        assert df.columns and df.count() >= 0
+    size = (lambda t: counter(queries.TOKENIZER)([t or ""])[0]) if "tokenizer" in name else (lambda t: math.ceil(len(t or "") / 4))
+    source = dict(rows_of(con, "SELECT doc_id, source FROM documents"))
+    tokens_ = {k: size(t) for k, t in texts.items()}
+    total = sum(tokens_.values())
+    rows = {r.source: r for r in run(spark, data_dir, name)}
+    targets = {s: (w, n) for s, w, n in rows_of(con, "SELECT DISTINCT source, target_share, max_repeats FROM source_targets")}
+    assert set(rows) == set(targets)
+    for key, (share, repeats) in targets.items():
+        lengths = [tokens_[k] for k in texts if source[k] == key]
+        r, budget = rows[key], int(share * total)
+        assert r.docs == len(lengths) and r.tokens == sum(lengths) and r.short == (repeats * sum(lengths) < share * total)
+        full = min(repeats, budget // sum(lengths)) if lengths else 0
+        reach = 1
+        for x in lengths if full < repeats else []:
+            reach |= reach << x
+        rest = budget - full * sum(lengths)
+        best = (reach & (1 << rest + 1) - 1).bit_length() - 1 if full < repeats else 0
+        assert r.mixed_tokens == full * sum(lengths) + best and r.exact and r.repeats == full
+        assert r.gap_tokens == (None if r.short else budget - r.mixed_tokens)
+        assert r.unmixed_tokens == sum(n for k, n in tokens_.items() if source[k] not in targets)
+    if name == "p9_sources":
+        mix = run(spark, data_dir, "p9_mix")
+        assert len({r.doc_id for r in mix}) == len(mix) and all(1 <= r.copies <= targets[r.source][1] for r in mix)
+        taken = Counter()
+        for r in mix:
+            assert r.source == source[r.doc_id] and r.tokens == tokens_[r.doc_id]
+            taken[r.source] += r.tokens * r.copies
+        assert taken == {k: r.mixed_tokens for k, r in rows.items() if r.mixed_tokens}
+        mixed = sum(taken.values())
+        assert all(math.isclose(r.actual_share, r.mixed_tokens / mixed) for r in rows.values())
+
+
+def test_residue_queries(spark, data_dir, texts):
+    df = Counter()
+    for t in texts.values():
+        df.update(set(words(t)))
+    index = residue.Index(df, len(texts))
+    want = {k: m for k, t in texts.items() if t and (m := index.match(t))}
+    rows = run(spark, data_dir, "p10_labels")
+    assert {r.doc_id: (r.label, round(r.score, 9)) for r in rows} == {k: (a, round(x, 9)) for k, (a, x) in want.items()} and len(rows) == len(want)
+    assert {r.doc_id for r in run(spark, data_dir, "p10_found")} == set(want)
+    assert {r.doc_id: r.text for r in run(spark, data_dir, "p10_clean")} == {k: t for k, t in texts.items() if k not in want}
 
 
 def text_page(*lines):
@@ -231,6 +446,8 @@ def test_leaks(spark):
     items = spark.createDataFrame([(1, f"intro {span} outro"), (2, " ".join(f"s{i}" for i in range(11)) + " other"), (3, None), (4, ""), (5, span.upper())], "item_id long, text string").withColumn("doc_id", F.lit(3))
     d = docs(spark, [(1, f"a b c {span}."), (2, f"a {span.replace('s5', 'x')} b"), (3, None), (4, "s0"), (5, f"{LONG} {span} {LONG}"), (5, f"{LONG} {span} {LONG}")])
     assert {tuple(r) for r in leakage.leaks(d, items).collect()} == {(1, 1), (1, 5), (5, 1), (5, 5)}
+    assert {tuple(r) for r in leakage.leaked_items(d, items).collect()} == {(1, 2), (2, 0), (3, 0), (4, 0), (5, 2)}
+    assert sorted(r.doc_id for r in leakage.without_leaks(d, items).collect()) == [2, 3, 4]
 
 
 def test_residue(spark):
