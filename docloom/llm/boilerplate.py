@@ -289,7 +289,7 @@ def _site_pattern(site: str) -> re.Pattern | None:
     if site not in _SITES:
         if len(_SITES) > 50_000:
             _SITES.clear()
-        _SITES[site] = re.compile(r"(?<!\w)" + r"[\s_-]+".join(map(re.escape, re.split(r"[-_]+", site))) + r"(?!\w)")
+        _SITES[site] = re.compile(r"(?<!\w)" + r"(?:[^\S\n]|[_-])+".join(map(re.escape, re.split(r"[-_]+", site))) + r"(?!\w)")
     return _SITES[site]
 
 
@@ -329,40 +329,46 @@ def line_stream(text: str, url: str | None, site: str | None) -> list[tuple[int,
     more than LINE_WORDS words is represented by its hash.
     """
     end = header_end(text)
-    raw = text.split("\n")
-    plain = mask(text).split("\n") if "```" in text or "~~~" in text or "$$" in text else raw
-    name = _site_pattern(site) if site else None
+    normal = _NUMBER.sub("0", text.lower())
+    if site and (name := _site_pattern(site)):
+        normal = name.sub("§", normal)
+    lines = normal.split("\n")
+    plain = mask(text).split("\n") if "```" in text or "~~~" in text or "$$" in text else lines
     own = _own_name(url)
     out: list[tuple[int, str | None, int, bool]] = []
     comment = False
     titled = False
-    for n, (line, shown) in enumerate(zip(raw, plain), 1):
-        if n <= end and titled or not line or line.isspace():
+    for n, (line, shown) in enumerate(zip(lines, plain), 1):
+        if not line or n <= end and titled or not (body := line.strip()):
             continue
-        stripped = line.strip()
-        body = _DECOR.sub("", stripped)
-        heading = "#" in stripped[: len(stripped) - len(body)] or body[:1] in "*_" and body[-1:] in "*_"
-        low = ""
-        linked = False
-        if "<!--" in line or comment:
-            comment = "-->" not in line.rpartition("<!--")[2]
-        elif shown.strip() and not body.startswith("!["):
-            if "](" in body:
-                linked = not _LINK.sub("", body).strip(" |·•/>»,-")
-                body = _LINK.sub(r"\1", body) if not linked else " | ".join(_LINK.findall(body))
-            elif _OWN_MARK.match(body):
-                body = ""
-            low = " ".join(_NUMBER.sub("0", _URL.sub("", body.lower())).split())
-            if name is not None:
-                low = name.sub("§", low)
         if n <= end:
             titled = True
-            out.append((0, " ".join(body.lower().split()) or None, 0, True))  # with its numbers: a second part isn't a copy
+            title = _DECOR.sub("", text.split("\n", n)[n - 1].strip()).lower()
+            out.append((0, " ".join(title.split()) or None, 0, True))  # with its numbers: a second part isn't a copy
             continue
-        if not low:
+        heading = False
+        if not body[0].isalpha():
+            stripped = body
+            body = _DECOR.sub("", stripped)
+            heading = "#" in stripped[: len(stripped) - len(body)] or body[:1] in "*_" and body[-1:] in "*_"
+        linked = False
+        if "<!--" in line or comment:
+            comment = "-->" not in line.rpartition("<!--")[2]
+            body = ""
+        elif not shown or body.startswith("![") or shown.isspace():
+            body = ""
+        elif "](" in body:
+            linked = not _LINK.sub("", body).strip(" |·•/>»,-")
+            body = _LINK.sub(r"\1", body) if not linked else " | ".join(_LINK.findall(body))
+        elif not body[:1].isalnum() and _OWN_MARK.match(body):
+            body = ""
+        if "://" in body:
+            body = _URL.sub("", body)
+        words = body.split()
+        if not words:
             out.append((n, None, 0, heading))
             continue
-        words = low.split(" ")
+        low = " ".join(words)
         label = 1 if _known(low, words, linked, own) else 0
         if not label and not heading and len(words) <= 8 and _is_title(words):
             label = 2
@@ -405,8 +411,13 @@ def _slotted(low: str, fixed: set[str]) -> list[str]:
     return out
 
 
+_FIXED = re.compile(r"[^\W0_]|[§¤#]")
+
+
 def solid(element: str) -> bool:
     """Does an element hold more of the template than slots?"""
+    if "*" not in element:
+        return _FIXED.search(element) is not None
     parts = element.split(" ")
     words = sum(p in "§¤" or p[0].isalnum() and p != "0" for p in parts)
     return element[0] == "#" or parts[0] == "[" or "¤" in parts or words > 0 and parts.count("*") <= words
