@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,9 +91,11 @@ def run_corpus(spark: SparkSession, folder: str, out: str, old_index: str = "",
 
 
 def run_duplicates(spark: SparkSession, folder: str, out: str, config: DuplicateConfig = DuplicateConfig()) -> dict[str, str]:
-    """Find duplicates below a folder; writes the records, the kept files and a report. Nothing is deleted."""
+    """Find duplicates below a folder; writes the records, the kept files and a report, which is no input if it lies below the
+    folder. Nothing is deleted."""
     mark = written()
-    raw = S.all_files(spark, folder, guarded=True).withColumn("text", S.utf8_text(F.col("content")))
+    report = os.path.relpath(os.path.abspath(f"{out}/duplicates.md"), os.path.abspath(folder.removeprefix("file://"))) if "://" not in out else ""
+    raw = S.all_files(spark, folder, guarded=True).filter(F.col("path") != report).withColumn("text", S.utf8_text(F.col("content")))
     files = cut(raw.select("path", "size", "sha256", "text", T.first_line(F.col("text")).alias("first_line")), "files")
     records = cut(dedup.duplicates(files, config.threshold, config.simhash_max_distance if config.prefilter else None), "records")
     paths = {"duplicates": sinks.write_table(records, out, "duplicates"), "kept": sinks.write_table(dedup.kept_files(files, records).drop("text"), out, "kept")}

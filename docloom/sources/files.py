@@ -19,7 +19,8 @@ def markdown_files(spark: SparkSession, root: str, pattern: str = "*.md", guarde
     """``path`` (relative), ``size``, ``sha256``, ``modified``, ``content`` of the files below a folder.
 
     Spark's own reader lists them and skips names that begin with ``_`` or ``.``; :func:`hidden_files` adds those.
-    ``guarded`` leaves out ``clean.md``. A local folder that is missing is an error.
+    ``guarded`` leaves out ``clean.md`` and, of a local folder, links and what lies behind them, so nothing outside the
+    folder is read. A local folder that is missing is an error.
     """
     local = root.removeprefix("file://")
     if "://" not in local and not os.path.isdir(local):
@@ -31,7 +32,29 @@ def markdown_files(spark: SparkSession, root: str, pattern: str = "*.md", guarde
         path.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
         F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "content",
     )
-    return files.filter(F.lower(F.element_at(F.split("path", "/"), -1)) != "clean.md") if guarded else files
+    if not guarded:
+        return files
+    kept = files.filter(F.lower(F.element_at(F.split("path", "/"), -1)) != "clean.md")
+    links = [] if "://" in local else find_links(local)
+    if not links:
+        return kept
+    parts = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return kept.filter(~F.arrays_overlap(prefixes, F.array(*map(F.lit, links))))
+
+
+#: Links a folder may hold; they become part of the plan.
+MOST_LINKS = 10_000
+
+
+def find_links(root: str) -> list[str]:
+    """Relative paths of the links, to files or folders, in a local folder; what lies behind a link isn't looked at."""
+    found = []
+    for folder, folders, names in os.walk(root):
+        found += [os.path.relpath(full, root) for name in folders + names for full in [os.path.join(folder, name)] if os.path.islink(full)]
+        if len(found) > MOST_LINKS:
+            raise ValueError(f"more than {MOST_LINKS} links below {root}")
+    return found
 
 
 def hidden_files(spark: SparkSession, root: str, suffix: str = ".md", links: bool = False) -> DataFrame:

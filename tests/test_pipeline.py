@@ -41,6 +41,22 @@ def test_scan_and_decode(spark, folder):
         S.markdown_files(spark, str(folder / "missing"))
 
 
+def test_guarded_scan_follows_no_links(spark, folder, tmp_path):
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    (outside / "far.md").write_text(TEXT)
+    (folder / "link.md").symlink_to(outside / "far.md")
+    (folder / "linked").symlink_to(outside)
+    (folder / "inner.md").symlink_to(folder / "d.md")
+    assert {"link.md", "linked/far.md", "inner.md"} <= {r.path for r in S.markdown_files(spark, str(folder)).collect()}
+    got = {r.path for r in S.markdown_files(spark, str(folder), guarded=True).collect()}
+    assert got == {"a__20240115_Acme_Privacy_Policy.md", "sub dir/b.md", "c.md", "d.md"}
+    for _ in range(2):  # the first run's report is no input of the second
+        pipeline.run_duplicates(spark, str(folder), str(folder / "out"))
+    kept = {r.path for r in spark.read.parquet(str(folder / "out" / "kept.parquet")).collect()}
+    assert kept == {"a__20240115_Acme_Privacy_Policy.md", "sub dir/b.md", "c.md", "_hidden.md"}
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('﻿a,b\n1,"x\ny"\n,"q""q"\n', encoding="utf-8")
