@@ -22,15 +22,16 @@ def order_key(path: str = "path") -> Column:
     return F.struct(F.lower(path).alias("low"), F.col(path).alias("path"))
 
 
-def file_facts(files: DataFrame, simhash: bool = False) -> DataFrame:
-    """Path, size and hash of each file as a table of its own, with its length, the counts of a few characters and, if
-    asked for, its SimHash: what pairs are judged by before texts travel. Texts are read for this once."""
+def file_facts(files: DataFrame, simhash: bool = False, counts: bool = True) -> DataFrame:
+    """Path, size and hash of each file as a table of its own, with ``counts`` also its length and the counts of a few
+    characters, and with ``simhash`` its SimHash: what pairs are judged by before texts travel. Texts are read for this once."""
     known = [c for c in ("len", "chars", "simhash") if c in files.columns]
     if "text" not in files.columns:
         return files.select("path", "size", "sha256", *known)
     text = F.col("text")
-    more = [simhash_udf("text").alias("simhash")] if simhash else []
-    return cut(files.select("path", "size", "sha256", F.length(text).alias("len"), _letters(text).alias("chars"), *more), "files")
+    more = [F.length(text).alias("len"), _letters(text).alias("chars")] if counts else []
+    more += [simhash_udf("text").alias("simhash")] if simhash else []
+    return cut(files.select("path", "size", "sha256", *more), "files")
 
 
 def size_groups(files: DataFrame) -> DataFrame:

@@ -306,17 +306,17 @@ def size_groups(spark, d):
 
 @query(O.EXACT)
 def exact_duplicates(spark, d):
-    return dedup.exact_duplicates(dedup.file_facts(_files(spark, d)))
+    return dedup.exact_duplicates(dedup.file_facts(_files(spark, d), counts=False))
 
 
 @query(O.PAIRS)
 def candidate_pairs(spark, d):
-    return dedup.candidate_pairs(dedup.file_facts(_files(spark, d)))
+    return dedup.candidate_pairs(dedup.file_facts(_files(spark, d), counts=False))
 
 
 @query(O.KEPT)
 def kept_documents(spark, d):
-    files = dedup.file_facts(_files(spark, d))
+    files = dedup.file_facts(_files(spark, d), counts=False)
     return dedup.kept_files(files, dedup.exact_duplicates(files)).select("path", "size")
 
 
