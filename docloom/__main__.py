@@ -1,8 +1,9 @@
-"""Command line: ``python -m docloom corpus|duplicates|convert|tokens ...``."""
+"""Command line: ``python -m docloom corpus|duplicates|pages|convert|tokens ...``."""
 
 from __future__ import annotations
 
 import argparse
+from datetime import date
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ def main(argv: list[str] | None = None) -> int:
     convert = sub.add_parser("convert", help="PDF and DOCX files of a folder to Markdown")
     convert.add_argument("--input-dir", required=True)
     convert.add_argument("--out-dir", required=True)
+    pages = sub.add_parser("pages", help="fetch addresses and write their text as Markdown files")
+    pages.add_argument("--urls", required=True, help="text file with one address a line")
+    pages.add_argument("--out-dir", required=True)
+    pages.add_argument("--date", default=date.today().isoformat(), help="day of retrieval, part of the file names")
     budget = sub.add_parser("tokens", help="estimated tokens of a folder against a threshold")
     budget.add_argument("directory")
     budget.add_argument("-t", "--threshold", type=int, default=32_000)
@@ -47,6 +52,9 @@ def main(argv: list[str] | None = None) -> int:
             terms = S.read_csv(spark, args.dictionary, ["group", "ord", "term"]).withColumn("ord", F.col("ord").try_cast("int")).filter("term != ''")
             groups = pipeline.read_dictionary(terms)
         print(pipeline.run_corpus(spark, args.input_dir, args.out_dir, args.old_index, groups, config, hidden=True, csv=args.csv))
+    elif args.command == "pages":
+        urls = spark.read.text(args.urls).select(F.xxhash64("value").alias("page_id"), F.col("value").alias("url")).distinct()
+        pipeline.run_pages(spark, urls, args.out_dir, args.date).select("url", "file_name", "char_count", "word_count", "status").orderBy("url").show(1000, False)
     elif args.command == "convert":
         pipeline.run_conversion(spark, args.input_dir, args.out_dir).orderBy("path").show(1000, False)
     elif args.command == "duplicates":

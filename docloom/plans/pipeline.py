@@ -12,6 +12,7 @@ from docloom.config import GROUPS, TEST_DICTIONARY, CorpusConfig, DuplicateConfi
 from docloom.functions import text as T
 from docloom.operators import dedup, features, index, quality, segments, selection, tokenstats
 from docloom.shared import cut, release, written
+from docloom.sources import fetch
 from docloom.sources import files as S
 from docloom.sources import sinks
 
@@ -26,6 +27,17 @@ def read_dictionary(table: DataFrame) -> dict[str, list[str]]:
     return groups
 
 
+def combined(groups: dict[str, list[str]], name: str, *parts: str) -> dict[str, list[str]]:
+    """The dictionary with a group made of others, one after the other."""
+    return groups | {name: [t for p in parts for t in groups.get(p, [])]}
+
+
+def without(groups: dict[str, list[str]], name: str, whole: str, part: str) -> dict[str, list[str]]:
+    """The dictionary with a group made of one's terms that another lacks, in order."""
+    gone = set(groups.get(part, []))
+    return groups | {name: [t for t in groups.get(whole, []) if t not in gone]}
+
+
 def corpus_tables(files: DataFrame, old: DataFrame, groups: dict[str, list[str]] | None = None, config: CorpusConfig = CorpusConfig()) -> dict[str, DataFrame]:
     """The result tables for decoded files (path, size, sha256, text, read_status) and an older index."""
     groups = groups or TEST_DICTIONARY
@@ -106,6 +118,14 @@ def run_duplicates(spark: SparkSession, folder: str, out: str, config: Duplicate
     return paths
 
 
+def run_pages(spark: SparkSession, urls: DataFrame, out: str, day: str, get=fetch.fetch) -> DataFrame:
+    """Fetch the pages (page_id, url), extract their text and write each as a file of ``out``, a folder all executors mount;
+    ``page_id, url, file_name, char_count, word_count, status`` of all."""
+    pages = cut(fetch.pages_of(urls, day, get), "pages")
+    named = sinks.write_pages(pages.filter("status = 'ok'"), out, day)
+    return pages.drop("markdown", "slug", "title").join(named, "page_id", "left").select("page_id", "url", "file_name", "char_count", "word_count", "status")
+
+
 def run_conversion(spark: SparkSession, folder: str, out: str, convert=None) -> DataFrame:
     """Convert the PDF and DOCX files of a folder, not of those below it, to ``<stem>.md`` in ``out``, a folder all executors
     mount; ``path, status`` of each. A file that fails leaves the others alone."""

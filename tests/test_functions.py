@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.config import STOPWORDS
+from docloom.functions.lemmas import lemmas, pieces
 from docloom.functions import text as T
 from docloom.functions.html import extract
 from docloom.functions.similarity import indel_ratio, lcs_length, simhash64
@@ -108,6 +109,15 @@ def test_cutoff_only_hides_what_is_below(a, edits, cutoff):
     assert lcs_length(a, b) == dp(a, b)
 
 
+def test_lemmas_of_long_texts(spark):
+    assert list(pieces("ab\n\ncd", 6)) == ["ab\n\ncd"]
+    assert list(pieces("ab\n \ncd\n\n\n\nefghijklmnop\n\nq", 6)) == ["ab", "cd", "efghij", "klmnop", "q"]
+    assert list(pieces("a\n\nb\n\nc", 6)) == ["a\n\nb", "c"] and list(pieces("", 6)) == [""]
+    rows = spark.createDataFrame([(1, "Dogs RAN\n\nfast"), (2, None)], "id int, text string")
+    of = lemmas(lambda t: [w.rstrip("s") + " " for w in t.split()], longest=9)
+    assert {r.id: r.l for r in rows.select("id", of("text").alias("l")).collect()} == {1: ["dog", "ran", "fast"], 2: []}
+
+
 def test_simhash():
     assert simhash64("") == -1  # no votes: every bit is set
     assert simhash64("A b") == simhash64("a  B")

@@ -1,6 +1,8 @@
 """Readers, pipelines, writers and streams on files of the test's own."""
 
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,52 @@ def test_guarded_scan_follows_no_links(spark, folder, tmp_path):
     assert kept == {"a__20240115_Acme_Privacy_Policy.md", "sub dir/b.md", "c.md", "_hidden.md"}
 
 
+class Site(http.server.BaseHTTPRequestHandler):
+    def log_message(self, *args):
+        pass
+
+    def do_GET(self):
+        body = "<html><head><title>Règles</title></head><body><main><p>" + "mot à mot " * 60 + "</p></main></body></html>"
+        answers = {
+            "/page": (200, "text/html; charset=latin-1", body.encode("latin-1")), "/plain": (200, "text/plain", b"x"), "/blank": (200, "text/html", b"  \n"),
+            "/untyped": (200, None, body.encode()), "/short": (200, "text/html", b"<body><main><p>" + b"x" * 300 + b"</p></main></body>"), "/round": (302, None, b""),
+        }
+        code, kind, content = answers.get(self.path, (404, "text/html", b"gone"))
+        self.send_response(code)
+        if kind:
+            self.send_header("Content-Type", kind)
+        if code == 302:
+            self.send_header("Location", "/round")
+        self.send_header("Content-Length", str(len(content)))
+        self.end_headers()
+        self.wfile.write(content)
+
+
+def test_pages_from_a_server(spark, tmp_path):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        rows = [(i, at + p) for i, p in enumerate(("/page", "/plain", "/blank", "/untyped", "/short", "/round", "/none"))]
+        rows += [(7, "http://127.0.0.1:1/x"), (8, ""), (9, "ftp://x/y"), (10, None)]
+        done = pipeline.run_pages(spark, spark.createDataFrame(rows, "page_id int, url string"), str(tmp_path / "md"), "2026-01-01")
+        got = {r.page_id: (r.status, r.file_name is not None) for r in done.collect()}
+    finally:
+        server.shutdown()
+    assert got == {
+        0: ("ok", True), 1: ("not_html", False), 2: ("empty", False), 3: ("ok", True), 4: ("too_short", False), 5: ("too_many_redirects", False),
+        6: ("http_404", False), 7: ("no_connection", False), 8: ("empty", False), 9: ("unsupported_scheme", False), 10: ("empty", False),
+    }
+    texts = [p.read_text() for p in (tmp_path / "md").iterdir()]
+    assert len(texts) == 2 and all(t.startswith("# Règles\n\n_Source: http://127.0.0.1") and "mot à mot" in t for t in texts)
+
+
+def test_dictionary_groups_are_made_of_others():
+    groups = {"data": ["a", "b"], "practice": ["b", "c"]}
+    both = pipeline.combined(groups, "all", "data", "practice", "none")
+    assert both["all"] == ["a", "b", "b", "c"] and pipeline.without(both, "rest", "all", "data")["rest"] == ["c"] and "all" not in groups
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('﻿a,b\n1,"x\ny"\n,"q""q"\n', encoding="utf-8")
