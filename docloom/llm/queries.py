@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import boilerplate, distinctive, leakage, markup, mixing, neardup, residue, sitelines, termfreq, tokenbudget
+from docloom.shared import spread
 
 #: A vocabulary file of a public tokenizer, for the counts that aren't estimates; the environment may name another.
 TOKENIZER = os.environ.get("DOCLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+#: Tables of texts, whose rows cost far more than reading them.
+TEXTS = ("documents", "extracted_documents")
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in TEXTS else table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
