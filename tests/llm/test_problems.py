@@ -152,6 +152,21 @@ def test_tokenizer_slices(spark, data_dir, con, markdown):
     assert math.isclose(sum(r.share for r in rows), 1)
 
 
+def test_each_distinct_text_is_counted_once(spark, monkeypatch):
+    """The estimate too is taken after texts have collapsed, copies and repeated rows of a page alike."""
+    counted = spark.sparkContext.accumulator(0)
+
+    def length(text):
+        counted.add(1)
+        return len(text)
+
+    monkeypatch.setattr(tokenbudget.F, "length", F.udf(length, "long"))
+    rows = [(f"p{i}", ("one", "a second text", "", None)[i % 4]) for i in range(40)]
+    got = [tuple(r) for r in tokenbudget.page_tokens(pages(spark, rows + rows).repartition(8)).collect()]
+    assert sorted(got) == sorted((k, math.ceil(len(t or "") / 4)) for k, t in rows)
+    assert counted.value == 3
+
+
 def test_scores(spark, data_dir, markdown):
     """Exact tails summed from log-gamma term by term, adjusted by the textbook procedure."""
     bags = {k: Counter(re.findall("[A-Za-zА-Яа-яЁё0-9-]+", t.lower())) for k, t in markdown.items() if t}
