@@ -1,17 +1,20 @@
 """Duplicate files: equal byte size, then equal content, then fuzzy ratio among representatives.
 
 Files are (path, size, sha256, text); paths are compared in lower case, then as they are. One plan covers all sizes:
-only representatives of distinct contents are paired, on ids; texts are joined to the pairs that are left.
+only representatives of distinct contents are paired. Their texts travel once, to the group of their size (to each group of
+their part where a size is cut into parts), and are paired there, so no text travels per pair.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docloom.functions.similarity import indel_ratio, indel_ratio_udf, simhash_udf
+from docloom.functions.similarity import char_places, indel_ratio, indel_ratio_udf, may_be_near, simhash64, simhash_udf
 from docloom.shared import cut
 
 #: Representatives of one size that are paired in one group.
@@ -59,17 +62,23 @@ def exact_duplicates(files: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(reps: DataFrame) -> DataFrame:
-    """``size, l, r``: every two representatives of a size as structs, the first in order as ``l``. A size of more than
-    PART of them is cut into parts, and every two parts meet in a group of their own, so no task holds a whole size."""
-    known = [c for c in ("len", "chars", "simhash") if c in reps.columns]
+def _placed(reps: DataFrame, v: Column) -> DataFrame:
+    """``size, x, y, part, v``: the representatives of sizes that more than one has, a row for each group they are paired
+    in. A size of more than PART of them is cut into parts, and every two parts meet in a group of their own, so no task
+    holds a whole size."""
     sizes = reps.groupBy("size").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("reps")).filter("reps > 1")
-    placed = (
-        reps.select("size", F.struct(order_key("rep").alias("k"), *known).alias("v")).join(sizes.select("size", "parts"), "size")
-        .withColumn("part", F.pmod(F.xxhash64("v.k.path"), "parts").cast("int"))
+    return (
+        reps.withColumn("v", v).join(sizes.select("size", "parts"), "size")
+        .withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("size", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "v")
     )
+
+
+def _pairs(reps: DataFrame) -> DataFrame:
+    """``size, l, r``: every two representatives of a size as structs, the first in order as ``l``."""
+    known = [c for c in ("len", "chars", "simhash") if c in reps.columns]
+    placed = _placed(reps, F.struct(order_key("rep").alias("k"), *known))
     one = placed.filter("part = x").select("size", "x", "y", F.col("v").alias("a"))
     two = placed.filter("part = y").select("size", "x", "y", F.col("v").alias("b"))
     return one.join(two, ["size", "x", "y"]).filter("x < y or a.k < b.k").select("size", F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"))
@@ -98,6 +107,46 @@ def possible_pairs(facts: DataFrame, threshold: float = 0.9, max_distance: int |
     return possible.select(F.col("l.k.path").alias("left_path"), F.col("r.k.path").alias("right_path"), "size")
 
 
+def _near(table: pa.Table, threshold: float, max_distance: int | None, first: bool) -> pa.Table:
+    """Pairs above ``threshold`` among the texts of a group of :func:`_placed`; with ``first`` of each text only the first
+    one before it, and what comes after that isn't compared."""
+    table = table.filter(pc.is_valid(table["text"])).sort_by([("low", "ascending"), ("path", "ascending")])
+    paths, texts, parts = (table[c].to_pylist() for c in ("path", "text", "part"))
+    part = np.array(parts)
+    across = table.num_rows and table["x"][0].as_py() != table["y"][0].as_py()
+    left, right = may_be_near(texts, threshold, (lambda j: part[:j] != part[j]) if across else None)
+    hashes: dict[int, int] = {}
+    places: tuple = (None, None)
+    rows: list[tuple[int, int, float]] = []
+    for j, i in sorted(zip(right.tolist(), left.tolist())):
+        if first and rows and rows[-1][1] == j:
+            continue
+        if max_distance is not None:
+            for k in {i, j} - hashes.keys():
+                hashes[k] = simhash64(texts[k])
+            if ((hashes[i] ^ hashes[j]) & (1 << 64) - 1).bit_count() > max_distance:
+                continue
+        if places[0] != j:
+            places = j, char_places(texts[j])
+        ratio = indel_ratio(texts[j], texts[i], threshold, places[1])
+        if ratio > threshold:
+            rows.append((i, j, ratio))
+    i, j, ratios = zip(*rows) if rows else ((), (), ())
+    return pa.table({
+        "left_path": pa.array([paths[k] for k in i], pa.string()), "right_path": pa.array([paths[k] for k in j], pa.string()),
+        "size": table["size"].take(pa.array(j, pa.int64())), "ratio": pa.array(ratios, pa.float64()),
+    })
+
+
+def _compared(facts: DataFrame, files: DataFrame, threshold: float, max_distance: int | None, first: bool = False) -> DataFrame:
+    reps = representatives(facts).select("size", "rep")
+    placed = _placed(reps.join(files.select(F.col("path").alias("rep"), "text"), "rep"), F.struct(order_key("rep").alias("k"), "text"))
+    return placed.select("size", "x", "y", "part", "v.k.low", "v.k.path", "v.text").groupBy("size", "x", "y").applyInArrow(
+        lambda table: _near(table, threshold, max_distance, first),
+        f"left_path string, right_path string, size {dict(files.dtypes)['size']}, ratio double",
+    )
+
+
 def _with_texts(pairs: DataFrame, files: DataFrame) -> DataFrame:
     texts = files.select("path", "text")
     return pairs.join(texts.withColumnsRenamed({"path": "left_path", "text": "l_text"}), "left_path").join(
@@ -113,30 +162,11 @@ def fuzzy_pairs(files: DataFrame, threshold: float = 0.9, max_distance: int | No
     )
 
 
-def first_matches(pairs: DataFrame, files: DataFrame, threshold: float) -> DataFrame:
-    """``right_path, left_path, size, ratio``: of each right file the first left one above ``threshold``; what comes after
-    it isn't compared."""
-
-    def compare(batches):
-        matched = None
-        for batch in batches:
-            rows = ([], [], [], [])
-            for right, left, size, a, b in zip(*(batch.column(i) for i in range(5))):
-                right = right.as_py()
-                if right == matched:
-                    continue
-                ratio = indel_ratio(a.as_py(), b.as_py(), threshold)
-                if ratio > threshold:
-                    matched = right
-                    for column, value in zip(rows, (right, left.as_py(), size.as_py(), ratio)):
-                        column.append(value)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["right_path", "left_path", "size", "ratio"])
-
-    ordered = _with_texts(pairs, files).repartition("right_path").sortWithinPartitions("right_path", order_key("left_path"))
-    return ordered.select("right_path", "left_path", F.col("size").cast("long"), "l_text", "r_text").mapInArrow(
-        compare, "right_path string, left_path string, size long, ratio double"
-    )
+def first_matches(facts: DataFrame, files: DataFrame, threshold: float, max_distance: int | None = None) -> DataFrame:
+    """``right_path, left_path, size, ratio``: of each right file the first left one above ``threshold``."""
+    found = _compared(facts, files, threshold, max_distance, True)
+    best = F.min(F.struct(order_key("left_path").alias("k"), "size", "ratio")).alias("m")
+    return found.groupBy("right_path").agg(best).select("right_path", F.col("m.k.path").alias("left_path"), "m.size", "m.ratio")
 
 
 def duplicates(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
@@ -145,8 +175,8 @@ def duplicates(files: DataFrame, threshold: float = 0.9, max_distance: int | Non
     A copy goes with its representative, a representative with the first earlier one above the threshold. A kept file
     may itself be reported; there is no closure.
     """
-    facts = file_facts(files, max_distance is not None)
-    best = first_matches(possible_pairs(facts, threshold, max_distance), files, threshold).select(
+    facts = file_facts(files, counts=False)
+    best = first_matches(facts, files, threshold, max_distance).select(
         F.col("right_path").alias("deleted_file"), F.col("left_path").alias("original_file"), "size",
         F.col("ratio").alias("similarity"), F.lit("fuzzy ratio").alias("method"),
     )
@@ -162,7 +192,7 @@ def duplicates(files: DataFrame, threshold: float = 0.9, max_distance: int | Non
 
 def run_counts(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
     """``suspicious_files, pairs_planned, pairs_compared``: files whose size is shared, pairs of representatives, and those
-    that the filters before the comparison leave."""
+    that lengths, character counts and SimHash leave."""
     facts = file_facts(files, max_distance is not None)
     suspicious = size_groups(facts).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("suspicious_files"))
     planned = candidate_pairs(facts).agg(F.count("*").alias("pairs_planned"))

@@ -11,7 +11,7 @@ from docloom.config import STOPWORDS
 from docloom.functions.lemmas import lemmas, pieces
 from docloom.functions import text as T
 from docloom.functions.html import extract
-from docloom.functions.similarity import indel_ratio, lcs_length, simhash64
+from docloom.functions.similarity import char_places, indel_ratio, lcs_length, may_be_near, simhash64
 from docloom.functions.terms import evidence_phrase, term_hits
 
 SEPARATORS = "a\nb\r\nc\rd\x0be\x0cf\x1cg\x1dh\x1ei\x85j k l"
@@ -143,3 +143,24 @@ def test_page_extraction():
 
 def test_deep_page_does_not_recurse():
     assert extract("<body>" + "<div>" * 5000 + "text " * 100 + "</body>", "u", "d")["status"] == "ok"
+
+
+def test_pairs_of_like_letters_are_ruled_out_and_near_ones_kept():
+    """Texts of the same words in another order have the same letters: before, each such pair was compared in full."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(150)]
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(40)]
+    texts += [t[: at] + "xy" + t[at + 2 + extra :] + "z" * extra for t in texts[:20] for at, extra in ((5, 0), (300, 30), (0, 60))]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if 2 * lcs_length(texts[i], texts[j]) / (len(texts[i]) + len(texts[j])) > 0.9}
+    left = set(zip(*(x.tolist() for x in may_be_near(texts, 0.9))))
+    assert len(near) >= 60 and near <= left and len(left) - len(near) < 0.01 * len(texts) ** 2 / 2
+
+
+@given(st.lists(st.text("ab ж\U0001f600", max_size=40), max_size=6), st.sampled_from([0.3, 0.7, 0.9, 1.0]))
+@settings(max_examples=200, deadline=None)
+def test_no_pair_above_the_cutoff_is_ruled_out(texts, cutoff):
+    left = set(zip(*(x.tolist() for x in may_be_near(texts, cutoff))))
+    ratios = {(i, j): indel_ratio(texts[i], texts[j]) for j in range(len(texts)) for i in range(j)}
+    assert {pair for pair, ratio in ratios.items() if ratio >= cutoff} <= left
+    for (i, j), ratio in ratios.items():
+        assert indel_ratio(texts[j], texts[i], cutoff, char_places(texts[j])) == (ratio if ratio >= cutoff else 0.0)
