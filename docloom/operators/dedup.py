@@ -156,6 +156,8 @@ def _with_texts(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
 def fuzzy_pairs(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
     """``left_path, right_path, size, ratio`` of the candidate pairs above ``threshold`` (strict); texts travel last."""
+    if max_distance is None:
+        return _compared(file_facts(files, counts=False), files, threshold, None)
     pairs = possible_pairs(file_facts(files, max_distance is not None), threshold, max_distance)
     return _with_texts(pairs, files).withColumn("ratio", indel_ratio_udf(threshold)("l_text", "r_text")).filter(F.col("ratio") > threshold).select(
         "left_path", "right_path", "size", "ratio"

@@ -128,6 +128,17 @@ def test_a_hot_size_is_cut_into_parts(spark, monkeypatch):
     assert dedup.candidate_pairs(files(spark, rows)).count() == 36 * 35 // 2
 
 
+@pytest.mark.parametrize("max_distance", [None])
+def test_no_text_travels_per_pair(spark, max_distance):
+    """Before, both texts were joined to every pair that letters left."""
+    rows = [(f"f{i}.md", "".join(random.Random(i).sample("abcdefghijklmnopqrstuvwxyz" * 4, 104))) for i in range(30)]
+    rows.append(("near.md", rows[7][1][:50] + "." + rows[7][1][51:]))
+    found = dedup.fuzzy_pairs(files(spark, rows), max_distance=max_distance)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "l_text" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+    assert [(r.left_path, r.right_path) for r in found.collect()] == [("f7.md", "near.md")]
+
+
 def test_simhash_of_a_long_text_adds_up():
     from brute import naive_simhash
 
