@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docloom.functions.similarity import char_places, indel_ratio, indel_ratio_udf, may_be_near, simhash64, simhash_udf
+from docloom.functions.similarity import char_places, indel_ratio, may_be_near, simhash64, simhash_udf
 from docloom.shared import cut
 
 #: Representatives of one size that are paired in one group.
@@ -147,21 +147,10 @@ def _compared(facts: DataFrame, files: DataFrame, threshold: float, max_distance
     )
 
 
-def _with_texts(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    texts = files.select("path", "text")
-    return pairs.join(texts.withColumnsRenamed({"path": "left_path", "text": "l_text"}), "left_path").join(
-        texts.withColumnsRenamed({"path": "right_path", "text": "r_text"}), "right_path"
-    )
-
-
 def fuzzy_pairs(files: DataFrame, threshold: float = 0.9, max_distance: int | None = None) -> DataFrame:
-    """``left_path, right_path, size, ratio`` of the candidate pairs above ``threshold`` (strict); texts travel last."""
-    if max_distance is None:
-        return _compared(file_facts(files, counts=False), files, threshold, None)
-    pairs = possible_pairs(file_facts(files, max_distance is not None), threshold, max_distance)
-    return _with_texts(pairs, files).withColumn("ratio", indel_ratio_udf(threshold)("l_text", "r_text")).filter(F.col("ratio") > threshold).select(
-        "left_path", "right_path", "size", "ratio"
-    )
+    """``left_path, right_path, size, ratio`` of the candidate pairs above ``threshold`` (strict). ``max_distance`` adds the
+    lossy SimHash filter."""
+    return _compared(file_facts(files, counts=False), files, threshold, max_distance)
 
 
 def first_matches(facts: DataFrame, files: DataFrame, threshold: float, max_distance: int | None = None) -> DataFrame:

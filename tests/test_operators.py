@@ -128,7 +128,7 @@ def test_a_hot_size_is_cut_into_parts(spark, monkeypatch):
     assert dedup.candidate_pairs(files(spark, rows)).count() == 36 * 35 // 2
 
 
-@pytest.mark.parametrize("max_distance", [None])
+@pytest.mark.parametrize("max_distance", [None, 64])
 def test_no_text_travels_per_pair(spark, max_distance):
     """Before, both texts were joined to every pair that letters left."""
     rows = [(f"f{i}.md", "".join(random.Random(i).sample("abcdefghijklmnopqrstuvwxyz" * 4, 104))) for i in range(30)]
